@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from textloom.functions.text import col, ngrams, normalized_answer, py_strip, py_tokens
 
@@ -26,13 +27,25 @@ def vqa_accuracy(pred: Column | str, truths: Column | str) -> Column:
     return F.least(F.lit(1.0), F.size(F.filter(col(truths), lambda t: normalized_answer(t) == p)) / F.lit(3.0))
 
 
+@F.pandas_udf(StructType([StructField("r", StringType()), StructField("h", StringType())]))
+def _spelled(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
+    """Both texts with one character for each distinct word of the pair, null for null."""
+
+    def one(r: str | None, h: str | None) -> tuple[str | None, str | None]:
+        if r is None or h is None:
+            return None, None
+        codes: dict[str, str] = {}
+        spell = lambda t: "".join([codes.setdefault(w, chr(0x20 + len(codes) + (0x800 if len(codes) + 0x20 >= 0xD800 else 0))) for w in t.split()])
+        return spell(r), spell(h)
+
+    return pd.DataFrame([one(r, h) for r, h in zip(reference, hypothesis, strict=True)], columns=["r", "h"])
+
+
 def wer(reference: Column | str, hypothesis: Column | str) -> Column:
     """Word edit distance over the reference's words: each distinct word becomes one character for the built-in
-    Levenshtein distance. 1.0 for an empty reference; may exceed 1."""
-    r, h = py_tokens(reference), py_tokens(hypothesis)
-    words = F.array_distinct(F.concat(r, h))
-    spelled = lambda a: F.array_join(F.transform(a, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(words, w) + F.lit(0x4DFF)), 4, "0")), "UTF-16BE")), "")
-    return F.when(F.size(r) == 0, 1.0).otherwise(F.levenshtein(spelled(r), spelled(h)) / F.size(r))
+    Levenshtein distance. 1.0 for an empty reference; may exceed 1; null for null."""
+    both = _spelled(col(reference), col(hypothesis))
+    return F.when(F.length(both["r"]) == 0, 1.0).otherwise(F.levenshtein(both["r"], both["h"]) / F.length(both["r"]))
 
 
 def lcs_length(a: Column | str, b: Column | str) -> Column:
@@ -51,7 +64,7 @@ def lcs_length(a: Column | str, b: Column | str) -> Column:
     return F.element_at(F.aggregate(a, zero, row), -1)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def lcs_long(a: pd.Series, b: pd.Series) -> pd.Series:
     """The same for long texts, by Arrow batches."""
     from bisect import bisect_left
@@ -126,7 +139,7 @@ def tfidf_cosine(pairs: DataFrame, key: str, hypothesis: str, reference: str, n:
     return pairs.select(F.col(key).alias("_k")).join(scored, "_k", "left").select(F.col("_k").alias(key), F.coalesce("cosine", F.lit(0.0)).alias("cosine"))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def repeats_itself(parts: pd.Series) -> pd.Series:
     """Whether any two sentences of an array have a Ratcliff/Obershelp ratio above 0.75."""
     from difflib import SequenceMatcher
@@ -142,7 +155,7 @@ def repeats_itself(parts: pd.Series) -> pd.Series:
     return parts.map(lambda x: None if x is None else one(x))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def meteor(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
     """Exact-match METEOR on lower-case white-space tokens (no stems or synonyms: their data are not public here)."""
 

@@ -57,8 +57,8 @@ def tagged(c: Column | str, tag: str, whole: bool = False) -> Column:
 
 
 def normalized_answer(c: Column | str) -> Column:
-    """Lower case, stripped, without anything but word characters and white space."""
-    return py_strip(F.regexp_replace(py_strip(F.lower(col(c))), r"(?U)[^\w\s]", ""))
+    """Lower case, stripped, without anything but letters, numbers, underscores and white space."""
+    return py_strip(F.regexp_replace(py_strip(F.lower(col(c))), r"(?U)[^\p{L}\p{N}_\s]", ""))
 
 
 def unfenced(c: Column | str) -> Column:
