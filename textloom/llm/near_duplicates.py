@@ -40,6 +40,8 @@ WIDE = 400  # runs from which sets are joined in bands of their own
 #: Keys that one task of the join holds at a time, about.
 BUCKET_KEYS = 8_000_000
 LEAST_BUCKETS = 12
+#: Texts of one key from which their pairs are filtered by matrix products, and rows of a block of these.
+LARGE_GROUP, BLOCK = 32, 2_048
 #: Members that are no representatives, up to which they are broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
 
@@ -195,7 +197,59 @@ def postings(docs: DataFrame, sketch, buckets: int) -> DataFrame:
     return docs.mapInArrow(emit, "bucket int, ids binary, sizes binary, bits binary, keys binary, who binary")
 
 
-def candidate_pairs(packed: DataFrame) -> DataFrame:
+def _runs_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return start, np.diff(np.append(start, len(key)))
+
+
+def _small_groups(key: np.ndarray, doc: np.ndarray, sizes: np.ndarray, bits: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs of texts that share one of the keys of under LARGE_GROUP texts, as numbers; keys are sorted."""
+    start, size = _runs_of(key)
+    small = np.repeat(size < LARGE_GROUP, size)
+    key, doc = key[small], doc[small]
+    for step in range(1, LARGE_GROUP):
+        same = np.flatnonzero(key[:-step] == key[step:])
+        if not len(same):
+            return
+        for lo in range(0, len(same), 200_000):
+            at = same[lo : lo + 200_000]
+            x, y = doc[at].astype(np.int64), doc[at + step].astype(np.int64)
+            p, q = sizes[x], sizes[y]
+            fit = np.flatnonzero((x != y) & (2 * np.minimum(p, q) >= np.maximum(p, q)))
+            x, y, most = x[fit], y[fit], (p[fit] + q[fit]) // 3
+            fit = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= most
+            yield np.unique((np.minimum(x, y)[fit] << 32) | np.maximum(x, y)[fit])
+
+
+def _large_groups(key: np.ndarray, doc: np.ndarray, sizes: np.ndarray, bits: np.ndarray) -> Iterator[np.ndarray]:
+    """The same for the other keys: the bits in which all texts of two blocks differ are one product of matrices."""
+    start, size = _runs_of(key)
+    for at in np.flatnonzero(size >= LARGE_GROUP):
+        own = np.unique(doc[start[at] : start[at] + size[at]]).astype(np.int64)
+        own = own[np.argsort(sizes[own], kind="stable")]
+        n = sizes[own]
+        last = np.searchsorted(n, 2 * n, side="right")  # no text before that is more than twice as large
+        for lo in range(0, len(own), BLOCK):
+            hi = min(lo + BLOCK, len(own))
+            left = _signs(bits[own[lo:hi]])
+            for lo2 in range(lo, int(last[hi - 1]), BLOCK):
+                hi2 = min(lo2 + BLOCK, len(own))
+                right = left if lo2 == lo else _signs(bits[own[lo2:hi2]])
+                # 256 - product is twice the number of bits that differ, and 3 times that number is at most the sizes' sum
+                near = (left @ right.T) * 1.5 + (n[lo:hi, None] + n[None, lo2:hi2]).astype(np.float32) >= 384.0
+                i, j = np.nonzero(near)
+                i, j = i + lo, j + lo2
+                ok = (i < j) & (n[j] <= 2 * n[i])
+                x, y = own[i[ok]], own[j[ok]]
+                yield np.unique((np.minimum(x, y) << 32) | np.maximum(x, y))
+
+
+def _signs(bits: np.ndarray) -> np.ndarray:
+    """256 times +1 or -1 for each row of bits."""
+    return np.unpackbits(bits.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+
+
+def candidate_pairs(packed: DataFrame, buckets: int) -> DataFrame:
     """(a, b), a < b: texts that share a key and whose sizes let them be alike."""
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,37 +274,23 @@ def candidate_pairs(packed: DataFrame) -> DataFrame:
         many[1:] = key[1:] == key[:-1]
         many[:-1] |= many[1:]
         key, doc = key[many], doc[many]
-        found, held, step = [], 0, 1
+        found, held = [], 0
 
         def flush() -> pa.RecordBatch:
             pair = np.unique(np.concatenate(found))
             x, y = ids[pair >> 32], ids[pair & 0xFFFFFFFF]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
-        while step < len(key):
-            same = np.flatnonzero(key[:-step] == key[step:])
-            if not len(same):
-                break
-            for lo in range(0, len(same), 500_000):
-                at = same[lo : lo + 500_000]
-                x, y = doc[at].astype(np.int64), doc[at + step].astype(np.int64)
-                p, q = sizes[x], sizes[y]
-                fit = np.flatnonzero((x != y) & (2 * np.minimum(p, q) >= np.maximum(p, q)))
-                x, y, most = x[fit], y[fit], (p[fit] + q[fit]) // 3
-                fit = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= most
-                found.append(np.unique((np.minimum(x, y)[fit] << 32) | np.maximum(x, y)[fit]))
-                held += len(found[-1])
-                if held > 4_000_000:
-                    yield flush()
-                    found, held = [], 0
-            step += 1
+        for part in (*_small_groups(key, doc, sizes, bits), *_large_groups(key, doc, sizes, bits)):
+            found.append(part)
+            held += len(part)
+            if held > 4_000_000:
+                yield flush()
+                found, held = [], 0
         if held:
             yield flush()
 
-    def grouped(_key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from match(batches)
-
-    return packed.groupBy("bucket").applyInArrow(grouped, "a long, b long").where("a < b").distinct()
+    return packed.repartitionById(buckets, "bucket").mapInArrow(match, "a long, b long").where("a < b").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -290,7 +330,7 @@ def near_duplicate_groups(df: DataFrame, ident: str, text: str) -> DataFrame:
     rest = signed.join(heads, "id", "left_anti").select("id")
     rest = F.broadcast(rest) if total - n_heads <= BROADCAST_IDS else rest
     buckets = max(LEAST_BUCKETS, -(-n_heads * 120 // BUCKET_KEYS))
-    pairs = candidate_pairs(postings(docs.join(rest, "id", "left_anti"), sketch, buckets))
+    pairs = candidate_pairs(postings(docs.join(rest, "id", "left_anti"), sketch, buckets), buckets)
     big = named.where("classes > 1").select("head", "rep")
     pairs = cut_lineage(pairs)
     if big.limit(1).count():  # expand the groups to the classes in them
