@@ -38,8 +38,8 @@ SHARED = CLASSES + 1  # l above
 SMALL = 3 * SHARED  # below that many runs a set also joins by single runs
 WIDE = 400  # runs from which sets are joined in bands of their own
 #: Keys that one task of the join holds at a time, about.
-BUCKET_KEYS = 8_000_000
-LEAST_BUCKETS = 12
+BUCKET_KEYS = 10_000_000
+LEAST_BUCKETS = 6
 #: Texts of one key from which their pairs are filtered by matrix products, and rows of a block of these.
 LARGE_GROUP, BLOCK = 32, 2_048
 #: Members that are no representatives, up to which they are broadcast (8 bytes each).
@@ -84,7 +84,8 @@ def frequency_sketch(docs: DataFrame) -> np.ndarray:
 def _ordered(texts: list[str | None], sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(doc, run, place, sizes): the runs of each text from rare to frequent, ties by hash."""
     doc, run, sizes = shingles.run_sets(texts)
-    order = np.argsort((doc << 31) + sketch[_counter(run)], kind="stable")
+    rarity = np.minimum(sketch[_counter(run)], (1 << 20) - 1).astype(np.uint64)
+    order = shingles.by_text(doc, np.argsort((rarity << np.uint64(44)) | (run & np.uint64((1 << 44) - 1))), len(texts))
     doc, run = doc[order], run[order]
     start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     return doc, run, np.arange(len(run)) - start[doc], sizes
@@ -93,7 +94,9 @@ def _ordered(texts: list[str | None], sketch: np.ndarray) -> tuple[np.ndarray, n
 def _sums(doc: np.ndarray, run: np.ndarray, n: int) -> np.ndarray:
     """A hash of the set of runs of each text."""
     total = np.zeros(n, np.uint64)
-    np.add.at(total, doc, shingles.mix(run + np.uint64(1)))
+    if len(doc):
+        starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        total[doc[starts]] = np.add.reduceat(shingles.mix(run + np.uint64(1)), starts)
     return total
 
 
@@ -135,15 +138,15 @@ def _keys(doc: np.ndarray, run: np.ndarray, place: np.ndarray, sizes: np.ndarray
         near = ((own == band) | (above == band)) & (place < base + classes + 1)
         d, r = doc[near], mixed[near]
         kind = (r % np.uint64(classes)).astype(np.int64)
-        order = np.lexsort((r, kind, d))
-        d, r = d[order], r[order]
-        cell = d * classes + kind[order]
+        cell = d * classes + kind
+        order = np.argsort(cell, kind="stable")
+        d, r, cell = d[order], shingles.mix(r[order]), cell[order]
         for step in range(1, len(d)):
             same = cell[:-step] == cell[step:]
             if not same.any():
                 break
             out_doc.append(d[:-step][same])
-            out_key.append(shingles.mix(r[:-step][same] * np.uint64(3) + shingles.mix(r[step:][same]) + np.uint64(band)))
+            out_key.append(shingles.mix(r[:-step][same] + r[step:][same] + np.uint64(band)))
     single = (size < SMALL) & (place < base + 1)
     out_doc.append(doc[single])
     out_key.append(shingles.mix(run[single] ^ np.uint64(0x5A5A5A5A5A5A5A5A)))
@@ -161,6 +164,17 @@ def _pack(x: np.ndarray) -> bytes:
     return zlib.compress(x.tobytes(), 1)
 
 
+def _three_bytes(key: np.ndarray) -> bytes:
+    """The lowest 24 bits: keys of one bucket that meet by chance only add pairs that the next filter drops."""
+    return key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :3].tobytes()
+
+
+def _from_three_bytes(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 3, 4), np.uint8)
+    wide[:, :3] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+    return wide.view("<u4").ravel()
+
+
 def _unpack(x: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zlib.decompress(x), kind)
 
@@ -188,7 +202,7 @@ def postings(docs: DataFrame, sketch, buckets: int) -> DataFrame:
                         pa.array([packed_ids] * len(rows), pa.binary()),
                         pa.array([packed_sizes] * len(rows), pa.binary()),
                         pa.array([bits[np.unique(who[i:j])].tobytes() for _, i, j in rows], pa.binary()),
-                        pa.array([(key[i:j] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() for _, i, j in rows], pa.binary()),
+                        pa.array([_three_bytes(key[i:j]) for _, i, j in rows], pa.binary()),
                         pa.array([np.diff(who[i:j], prepend=0).astype("<u2").tobytes() for _, i, j in rows], pa.binary()),
                     ],
                     ["bucket", "ids", "sizes", "bits", "keys", "who"],
@@ -259,7 +273,7 @@ def candidate_pairs(packed: DataFrame, buckets: int) -> DataFrame:
                 own = np.cumsum(_unpack(row["ids"], "<i8"))
                 index = np.cumsum(np.frombuffer(row["who"], "<u2").astype(np.int64))
                 used, local = np.unique(index, return_inverse=True)
-                keys.append(np.frombuffer(row["keys"], "<u4"))
+                keys.append(_from_three_bytes(row["keys"]))
                 who.append((local + n).astype(np.int32))
                 ids.append(own[used])
                 sizes.append(_unpack(row["sizes"], "<i4")[used])

@@ -7,6 +7,7 @@ a thousand million different runs two share a hash with a chance of about 3 in 1
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import xxhash
@@ -27,17 +28,20 @@ def words(text: str) -> list[str]:
     return text.translate(_SPACED).split() if text.isascii() else WORD.findall(text)
 
 
-class _Hashes(dict):
-    """Hash of each word seen; emptied when large, so that a worker's memory stays bounded."""
+class _Words(dict):
+    """A number for each word seen, and their hashes; begun anew when large, so that a worker's memory stays bounded."""
+
+    def __init__(self) -> None:
+        self.hashes: list[int] = []
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = self[word] = len(self.hashes)
+        self.hashes.append(xxhash.xxh64_intdigest(word))
         return value
 
 
-_HASH = _Hashes()
+_SEEN = _Words()
+_MOST_WORDS = 500_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -51,14 +55,24 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts, and the number of words of each; a null text has none."""
-    flat: list[int] = []
+    if len(_SEEN) > _MOST_WORDS:
+        _SEEN.clear()
+        _SEEN.hashes.clear()
+    flat, number = array("q"), _SEEN.__getitem__
     counts = np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
         if text:
             own = words(text)
             counts[i] = len(own)
-            flat += [_HASH[w] for w in own]
-    return np.array(flat, np.uint64), counts
+            flat.extend(map(number, own))
+    if not flat:
+        return np.zeros(0, np.uint64), counts
+    return np.array(_SEEN.hashes, np.uint64)[np.frombuffer(flat, np.int64)], counts
+
+
+def by_text(doc: np.ndarray, order: np.ndarray, texts: int) -> np.ndarray:
+    """order, sorted by doc; few texts sort by counting."""
+    return order[np.argsort(doc[order].astype(np.uint16) if texts < 1 << 16 else doc[order], kind="stable")]
 
 
 def run_sets(texts: list[str | None], least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,7 +84,7 @@ def run_sets(texts: list[str | None], least: int = LEAST_WORDS) -> tuple[np.ndar
     run = mix(mix(mix(word[:-2] + _M1) + word[1:-1] * _M2) + word[2:] * _M3)
     keep = (doc[:-2] == doc[2:]) & (counts[doc[:-2]] >= least)
     run, doc = run[keep], doc[:-2][keep]
-    order = np.lexsort((run, doc))
+    order = by_text(doc, np.argsort(run), len(texts))
     run, doc = run[order], doc[order]
     first = np.ones(len(run), bool)
     first[1:] = (run[1:] != run[:-1]) | (doc[1:] != doc[:-1])
