@@ -218,10 +218,10 @@ def o_win_4(t: Tables) -> DataFrame:
 @query("""WITH p AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE value IS NOT NULL),
 w AS (SELECT *, least(50, greatest(n // 2, 1)) AS w FROM p), o AS (SELECT *, unnest(range(-(w // 2), (w - 1) // 2 + 1)) AS k FROM w),
 m AS (SELECT *, CASE WHEN i + k < 0 THEN -1 - (i + k) WHEN i + k >= n THEN 2 * n - 1 - (i + k) ELSE i + k END AS j FROM o),
-a AS (SELECT m.user_id, m.event_id, round(avg(p.value), 6) AS smooth FROM m JOIN p ON p.user_id = m.user_id AND p.i = m.j GROUP BY ALL)
+a AS (SELECT m.user_id, m.event_id, round(avg(p.value) + 1e-9, 6) AS smooth FROM m JOIN p ON p.user_id = m.user_id AND p.i = m.j GROUP BY ALL)
 SELECT e.user_id, e.event_id, smooth FROM events e LEFT JOIN a USING (user_id, event_id)""")
 def o_win_6(t: Tables) -> DataFrame:
-    return W.moving_average(t.events.select("user_id", "event_id", "value"), "user_id", "event_id", "value").select("user_id", "event_id", F.round("smooth", 6).alias("smooth"))
+    return W.moving_average(t.events.select("user_id", "event_id", "value"), "user_id", "event_id", "value").select("user_id", "event_id", F.round(F.col("smooth") + 1e-9, 6).alias("smooth"))
 
 
 @query()
