@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,11 +22,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """The rows of df, written once to the shared folder, so that later steps don't compute them again."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """The rows of df, written once as a table in the shared folder, so that later steps don't compute them again.
+
+    Unlike a checkpoint's, the sizes of such a table are known to the planner, which else may take it for small enough to
+    be broadcast.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/steps/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:
