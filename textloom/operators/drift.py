@@ -58,7 +58,7 @@ def field_catalogue(fields: DataFrame) -> DataFrame:
     kinds = ("integer", "decimal", "string", "boolean", "object", "array")
     per = fields.where("field is not null").groupBy("run_name", "file_name", "field").agg(F.count(F.lit(1)).alias("carried"), F.count("type").alias("valued"), *[F.count_if(F.col("type") == k).alias(k) for k in kinds])
     kind = F.coalesce(*[F.when(2 * F.col(k) > F.col("valued"), F.lit(k)) for k in kinds])
-    had = files.join(per, ["run_name", "file_name"]).where(2 * F.col("carried") > F.col("records")).select(*RUN, "place", "last", "field", kind.alias("type"))
+    had = files.join(per.hint("merge"), ["run_name", "file_name"]).where(2 * F.col("carried") > F.col("records")).select(*RUN, "place", "last", "field", kind.alias("type"))
     before = Window.partitionBy("run_name", "field").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     return had.withColumn("type", F.coalesce(F.last("type", ignorenulls=True).over(before), F.lit(UNKNOWN)))
 
@@ -89,10 +89,11 @@ def schema_changes(df: DataFrame, payload: str) -> DataFrame:
     gone = events.where("new_type is null").select("run_name", "place", F.col("field").alias("old"), F.col("old_type").alias("type"))
     come = events.where("old_type is null").select("run_name", "place", F.col("field").alias("new"), F.col("new_type").alias("type"))
     maybe = gone.join(come, ["run_name", "place", "type"])
-    spots = files.withColumnRenamed("file_name", "file")
-    values = fields.where("value is not null").join(files, ["run_name", "file_name"])
-    earlier = maybe.select("run_name", "place", "old", "new").join(values.select("run_name", (F.col("place") + 1).alias("place"), F.col("field").alias("old"), "video_id", "value"), ["run_name", "place", "old"]).groupBy("run_name", "place", "old", "new", "video_id").agg(F.collect_set("value").alias("was"))
-    later = maybe.select("run_name", "place", "old", "new").join(values.select("run_name", "place", F.col("field").alias("new"), "video_id", "value"), ["run_name", "place", "new"]).groupBy("run_name", "place", "old", "new", "video_id").agg(F.collect_set("value").alias("is"))
+    # names repeat so much that these tables look far smaller on disk than they are: no side of these joins is broadcast
+    spots = files.withColumnRenamed("file_name", "file").hint("merge")
+    values = fields.where("value is not null").join(files.hint("merge"), ["run_name", "file_name"])
+    earlier = maybe.select("run_name", "place", "old", "new").join(values.select("run_name", (F.col("place") + 1).alias("place"), F.col("field").alias("old"), "video_id", "value").hint("merge"), ["run_name", "place", "old"]).groupBy("run_name", "place", "old", "new", "video_id").agg(F.collect_set("value").alias("was"))
+    later = maybe.select("run_name", "place", "old", "new").join(values.select("run_name", "place", F.col("field").alias("new"), "video_id", "value").hint("merge"), ["run_name", "place", "new"]).groupBy("run_name", "place", "old", "new", "video_id").agg(F.collect_set("value").alias("is"))
     shared = earlier.join(later, ["run_name", "place", "old", "new", "video_id"]).groupBy("run_name", "place", "old", "new").agg(F.count(F.lit(1)).alias("videos"), F.count_if(F.arrays_overlap("was", "is")).alias("same")).where("same = videos")
     # each field is renamed once: the best pair of both its sides, again for what is left while pairs remain is rare enough to be one step
     by_old, by_new = (Window.partitionBy("run_name", "place", side).orderBy(F.desc("videos"), "old", "new") for side in ("old", "new"))
