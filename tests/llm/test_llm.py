@@ -62,6 +62,19 @@ def test_near_duplicates_are_exact(spark):
     assert near_duplicate_pairs(df.limit(0), "k", "body").count() == 0
 
 
+def test_near_duplicates_of_one_member_of_a_group(spark):
+    """Two texts have the same rarest two thirds of runs; only the one that is no head is alike to the third text."""
+    words = lambda name, n: [f"{name}{i}" for i in range(n)]
+    core, one, two = words("core", 62), words("one", 30), words("two", 30)
+    rows = [(1, core + one), (2, core + two), (3, words("own", 30) + core[30:] + two)]
+    rows += [(10 + i, words(f"x{i}y", 70) + core[-2:] + (one if i % 2 else two)) for i in range(12)]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    texts = dict(rows)
+    assert alike(sets(texts[1]), sets(texts[2])) and alike(sets(texts[2]), sets(texts[3])) and not alike(sets(texts[1]), sets(texts[3]))
+    found = near_duplicate_pairs(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()
+    assert {tuple(r) for r in found} == {(1, 2), (1, 3), (2, 3)}
+
+
 @pytest.mark.parametrize(
     ("raw", "want"),
     [("AB1C2", "AB1C2"), ("ab1c2", "AB1C2"), (" charades/AB1C2.mp4", "AB1C2"), ("AB1C2_kf07", "AB1C2"), ("1234567890.0", "1234567890"), ("1,234,567,890\t", "1234567890"), ("1.23456789E9", "1234567890"), ("avcaps/1234567890", "1234567890"), ("12345", None), ("", None), (None, None), ("ABCDEF", None)],

@@ -11,9 +11,9 @@ The join is exact; nothing is sampled or capped:
    least l. With the runs spread over CLASSES classes and l = CLASSES + 1, two of the shared ones fall in one class
    (pigeonhole), so pairs of prefix runs of one class are the join's keys: far rarer than single runs. Sets too small
    for that (fewer than 3 * l runs) also join by the single runs of the plain prefix.
-4. Groups that share a key are filtered by size and by 256 parity bits: the bits in which two texts differ are at most
-   the runs in which they differ, and alike texts differ in at most (n + m) / 3 runs. What is left is expanded to its
-   classes, which are verified on the whole texts.
+4. Classes that share a key are filtered by size and by 256 parity bits: the bits in which two texts differ are at most
+   the runs in which they differ, and alike texts differ in at most (n + m) / 3 runs. What is left and not linked by its
+   group is verified on the whole texts.
 5. Links go through connected components; pairs come from the components.
 """
 
@@ -339,17 +339,16 @@ def near_duplicate_groups(df: DataFrame, ident: str, text: str) -> DataFrame:
     classes = signed.groupBy("class", "grp").agg(F.min("id").alias("rep"))
     groups = classes.groupBy("grp").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("classes"))
     named = cut_lineage(classes.join(groups, "grp").select("class", "rep", "head", "classes"))
-    heads = named.where("rep = head").select(F.col("head").alias("id"))
-    total, n_heads = signed.count(), heads.count()
-    rest = signed.join(heads, "id", "left_anti").select("id")
-    rest = F.broadcast(rest) if total - n_heads <= BROADCAST_IDS else rest
-    buckets = max(LEAST_BUCKETS, -(-n_heads * 120 // BUCKET_KEYS))
-    pairs = candidate_pairs(postings(docs.join(rest, "id", "left_anti"), sketch, buckets), buckets)
+    reps = named.select(F.col("rep").alias("id")).distinct()
+    total, n_reps = signed.count(), reps.count()
+    rest = signed.join(reps, "id", "left_anti").select("id")
+    rest = F.broadcast(rest) if total - n_reps <= BROADCAST_IDS else rest
+    buckets = max(LEAST_BUCKETS, -(-n_reps * 120 // BUCKET_KEYS))
+    pairs = cut_lineage(candidate_pairs(postings(docs.join(rest, "id", "left_anti"), sketch, buckets), buckets))
     big = named.where("classes > 1").select("head", "rep")
-    pairs = cut_lineage(pairs)
-    if big.limit(1).count():  # expand the groups to the classes in them
-        x, y = big.select(F.col("head").alias("a"), F.col("rep").alias("ra")), big.select(F.col("head").alias("b"), F.col("rep").alias("rb"))
-        pairs = pairs.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    if big.limit(1).count():  # pairs within a group are linked already
+        x, y = big.select(F.col("head").alias("ha"), F.col("rep").alias("a")), big.select(F.col("head").alias("hb"), F.col("rep").alias("b"))
+        pairs = pairs.join(x, "a", "left").join(y, "b", "left").where("ha is null or hb is null or ha <> hb").select("a", "b").distinct()
     links = verified(pairs, docs.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"))
     links = links.unionByName(big.where("head <> rep").select(F.col("head").alias("u"), F.col("rep").alias("v")))
     parts = connected_components(links)
