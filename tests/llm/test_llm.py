@@ -217,3 +217,16 @@ def test_personal_details(spark):
     assert redacted[900].startswith("Reviewed by [PERSON] on Tuesday.") and redacted[901] is None and redacted[902] == ""
     assert personal.personal_details(df.limit(0), names).count() == 0
     assert personal.personal_details(df, names.limit(0)).where("kind = 'email'").count() == 2
+
+
+def test_common_words_are_counted_over_all_documents(spark):
+    """Words that only documents outside the sample write in lower case are no names, in long texts too."""
+    ids = [r["id"] for r in spark.range(300).orderBy(F.xxhash64("id"), "id").collect()]
+    rng = random.Random(4)
+    name = lambda: f"{rng.choice(['Ansel', 'Mirela', 'Asha'])} {rng.choice(['Kolvane', 'Vossberg-Lind', 'Nandarin'])}"
+    docs = [(i, f"Reviewed by {name()} on Tuesday. In the hall the lamp is near the door.") for i in ids[:200]]
+    docs += [(i, "A quill and the wort are near the door.") for i in ids[200:290]]
+    docs += [(ids[290], "Reviewed by Quill Wort on Tuesday. In the hall the lamp is near the door."), (ids[291], "Reviewed by Hollow Fern on Tuesday. In the hall."), (ids[292], "a hollow by the fern. " * 1_500)]
+    df, names = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(NAMES, "name_part string, kind string")
+    got = {r["value"] for r in personal.personal_details(df, names, sample_docs=150).collect()}
+    assert "Ansel Kolvane" in got and not {"Quill Wort", "Hollow Fern"} & got

@@ -8,8 +8,9 @@ gives it away. Loopy belief propagation gives each node's marginals.
 The weights of the name features and of the edges are fitted on a bounded sample of documents (SAMPLE_DOCS, by hash of the
 id) whose labels come from the list of name parts; each token is learned twice, once with the list's features hidden, so
 that names missing from the list are told by their context in any language. Numbers have fixed potentials for shapes and
-label words. E-mail and postal addresses are told by their forms; their characters are no nodes. Everything is then
-applied to whole texts of all documents.
+label words. E-mail and postal addresses are told by their forms; their characters are no nodes. Which words are common
+ones and which street words carry a dot is counted over all documents. Everything is then applied to whole texts of all
+documents.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.session import cut_lineage
+
 #: Documents on which weights are fitted, and rounds of fitting and of message passing.
 SAMPLE_DOCS = 12_000
 EPOCHS, ROUNDS = 6, 8
@@ -102,14 +105,18 @@ def _fold(word: str) -> str:
 
 
 _STREET_WORDS = {w.casefold() for w in _EN_STREET.split("|") if len(w) > 2} | {"bridge", "station", "fair", "test", "church", "school", "hospital", "hotel", "museum", "market"}
-#: Potential against a name part that is no listed one but a word that the sample writes in lower case.
+#: Potential against a name part that is no listed one but a word that the documents write in lower case.
 COMMON_WORD = -20.0
 #: Share of its uses in lower case from which a word counts as common; names, too, are at times written so.
 COMMON_SHARE = 0.15
+#: Uses in lower case from which a word counts as common.
+COMMON_USES = 3
+_LOWER, _CAPITAL = re.compile(r"(?<![^\W\d_])[^\W\d_A-ZÀ-Þ]{2,}(?![^\W\d_])"), re.compile(r"(?<![^\W\d_])[A-ZÀ-Þ][^\W\d_]+")
+_STREET_DOT = re.compile(rf"\d\S* (?:{_CAP} ){{1,3}}({_EN_STREET})(\.?)(?:,| [a-z])")
 
 
 class Names:
-    """The list of name parts, and the words that the sample writes in lower case."""
+    """The list of name parts, and the words that the documents write in lower case."""
 
     def __init__(self, given: set[str], family: set[str], common: set[str]) -> None:
         self.given, self.family, self.common = given, family, common
@@ -283,16 +290,41 @@ class Model:
         self.weights, self.near, self.again, self.dotted = weights, near, again, dotted
 
 
-def fit(texts: list[str], given: set[str], family: set[str]) -> tuple[Model, Names]:
-    masked = [_masked(t, set())[1] for t in texts]
-    lower = Counter(w for t in masked for w in re.findall(r"(?<![^\W\d_])[^\W\d_A-ZÀ-Þ]{2,}(?![^\W\d_])", t))
-    capital = Counter(_fold(w) for t in masked for w in re.findall(r"(?<![^\W\d_])[A-ZÀ-Þ][^\W\d_]+", t))
-    names = Names(given, family, {_fold(w) for w, n in lower.items() if n >= 3 and n >= COMMON_SHARE * (n + capital[_fold(w)])})
-    marks: Counter = Counter()
+def word_counts(docs: DataFrame) -> tuple[set[str], set[str]]:
+    """Of all docs(id, text): the common words, folded, and the street words that carry a dot more often than not."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            rows = [(kind, word, _fold(word) if kind == "lower" else word, n) for (kind, word), n in seen.items()]
+            seen.clear()
+            for lo in range(0, len(rows), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[lo : lo + 50_000], strict=True)], ["kind", "word", "fold", "n"])
+
+        for batch in batches:
+            for text in batch.column(1).to_pylist():
+                _, bare = _masked(text, set())
+                seen.update(("lower", w) for w in _LOWER.findall(bare))
+                seen.update(("capital", _fold(w)) for w in _CAPITAL.findall(bare))
+                seen.update(("dot" if m[2] else "plain", m[1].casefold()) for m in _STREET_DOT.finditer(text))
+                if len(seen) > 500_000:
+                    yield from out()
+        yield from out()
+
+    rows = docs.where("text <> ''").mapInArrow(count, "kind string, word string, fold string, n long")
+    counts = cut_lineage(rows.groupBy("kind", "word", "fold").agg(F.sum("n").alias("n")))
+    capital = counts.where("kind = 'capital'").select("fold", F.col("n").alias("capital"))
+    lower = counts.where(f"kind = 'lower' and n >= {COMMON_USES}").join(capital, "fold", "left").fillna(0, ["capital"])
+    common = lower.where(F.col("n") >= F.lit(COMMON_SHARE) * (F.col("n") + F.col("capital"))).select("fold").distinct()
+    marks = {(r["word"], r["kind"]): r["n"] for r in counts.where("kind in ('dot', 'plain')").collect()}  # a fixed list of street words
+    return {r["fold"] for r in common.toLocalIterator()}, {w for w, _ in marks if marks.get((w, "dot"), 0) > marks.get((w, "plain"), 0)}
+
+
+def fit(texts: list[str], names: Names, dotted: set[str]) -> Model:
     rows, labels, joint = [], [], np.ones((2, 2))
-    for text, bare in zip(texts, masked, strict=True):
-        for match in re.finditer(rf"\d\S* (?:{_CAP} ){{1,3}}({_EN_STREET})(\.?)(?:,| [a-z])", text):
-            marks[match[1].casefold(), bool(match[2])] += 1
+    for text in texts:
+        _, bare = _masked(text, set())
         for chain in _chains(bare, names):
             y = _distant(chain, names)
             for a, b in zip(y[:-1], y[1:], strict=True):
@@ -300,7 +332,6 @@ def fit(texts: list[str], given: set[str], family: set[str]) -> tuple[Model, Nam
             for hide in (False, True):
                 rows += _token_features(bare, chain, names, hide)
                 labels += y
-    dotted = {w for w, _ in marks if marks[w, True] > marks[w, False]}
     weights = np.zeros(1 << FEATURE_BITS)
     if rows:
         y = np.array(labels, float)
@@ -320,7 +351,7 @@ def fit(texts: list[str], given: set[str], family: set[str]) -> tuple[Model, Nam
                 weights -= 0.3 * grad / np.sqrt(squares)
     share = joint / joint.sum()
     near = np.log(share / (share.sum(axis=1, keepdims=True) * share.sum(axis=0, keepdims=True)))
-    return Model(weights, np.clip(near, -2, 2), 1.5, dotted), names
+    return Model(weights, np.clip(near, -2, 2), 1.5, dotted)
 
 
 def _marginals(unary: list[list[float]], edges: list[tuple[int, int, str]], model: Model) -> np.ndarray:
@@ -438,7 +469,9 @@ def _applied(docs: DataFrame, names: DataFrame, ident: str, text: str, redacted:
     given = {_fold(r["name_part"]) for r in listed if r["kind"] == "given"}
     family = {_fold(r["name_part"]) for r in listed if r["kind"] == "family"}
     sample = [r["text"] for r in rows.where("length(text) between 1 and 20000").orderBy(F.xxhash64("id"), "id").limit(sample_docs).collect()]
-    held = spark.sparkContext.broadcast(fit(sample, given, family))
+    common, dotted = word_counts(rows)
+    known_names = Names(given, family, common)
+    held = spark.sparkContext.broadcast((fit(sample, known_names, dotted), known_names))
 
     def details(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = held.value
