@@ -192,6 +192,19 @@ def test_cut_texts(spark):
     assert cuts.cut_texts(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_open_structures_tell_cuts(spark):
+    """The same last words are a cut inside an open quote or tag and none outside, with or without a closing mark."""
+    assert cuts.automaton("<b>A lamp <i>is</i> near")["open"] == "<b>" and cuts.automaton("<b>A lamp.</b>")["open"] == "" == cuts.automaton('He said "go there."')["open"]
+    whole = ["A lamp stands near the big door."] * 150 + ["The big door shuts. A sign is by the big door in the hall."] * 150 + ['A sign reads "mind the step" here.'] * 100
+    torn = [f'A man opens the old window and then "reads x{i}' for i in range(30)]
+    cut = ['The sign near it says "mind the big door', 'The sign near it says "mind the big door in.', "<p>The sign near it says mind the big door in."]
+    fine = ["The sign near it says mind the big door", "The sign near it says mind the big door."]
+    source = lambda k, i: "u" if k in "cf" or k == "w" and i % 2 else "s"
+    df = spark.createDataFrame([(f"{k}{i}", source(k, i), t) for k, ts in (("w", whole), ("t", torn), ("c", cut), ("f", fine)) for i, t in enumerate(ts)], "id string, source string, text string")
+    got = {r["id"]: r["cut"] for r in cuts.cut_texts(df, df).collect()}
+    assert {k for k, v in got.items() if v and k[0] != "t"} == {"c0", "c1", "c2"}
+
+
 def test_defective_pairs(spark):
     rows = [(1, "A lamp is near the door of the hall.", None, "f"), (1, "A lamp is near the door of the hall.", None, "f"), (2, None, "A tall lamp is here.", None)]
     df = spark.createDataFrame(rows, "output_id long, reference string, generated string, run_file string")

@@ -5,7 +5,8 @@ off what was put after it and gives its last sentence. Whether that sentence nee
 itself: how often its last words end a sentence against how often they stand inside one, which words all sentences with
 its beginning hold and how long these are, and whether the text, in sorted order, is the beginning of another one that
 goes on. The evidence is weighed by Bayes' rule against each source's baseline: the share of cuts among its texts
-without a closing mark, and spikes of its text lengths at a limit. Counts are over all texts; no models are fitted.
+without a closing mark, spikes of its text lengths at a limit, and the share of its whole texts that leave a
+quote, bracket or tag open. Counts are over all texts; no models are fitted.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ _AFTER = re.compile(r"(?:\s+|[​‌‍﻿]+|\(\s*end[^()]*\)|\[[^\[\]]*\]|<[^<>
 _CLOSERS = re.compile(r"[)\]}'’]+$")
 _ESCAPE = re.compile(r"(?:\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|&[a-zA-Z#0-9]{1,6}|%[0-9A-Fa-f]?|<[a-zA-Z/][^<>]{0,20})$")
 _NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
+_STRUCTURE = re.compile(r"<(?P<end>/?)(?P<tag>[a-zA-Z][\w\-]*)(?:\s[^<>]*)?/?>|[(\[{“«)\]}”»\"]")
+#: Tags that are never closed.
+VOID_TAGS = {"br", "hr", "img", "input", "meta", "link", "wbr", "source", "col", "area"}
 PAIRS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
 #: Sentences with one beginning from which its fixed words and its least length are taken.
 LEAST_SENTENCES = 25
@@ -84,16 +88,20 @@ def automaton(text: str) -> dict:
         if not core:
             break
     stack: list[str] = []
-    for c in core:
-        if c in "([{“«":
-            stack.append(c)
-        elif c in PAIRS and stack and stack[-1] == PAIRS[c]:
-            stack.pop()
-        elif c == '"':
-            if stack and stack[-1] == '"':
+    for match in _STRUCTURE.finditer(text):
+        c, taken_off = match[0], match.start() >= len(core)  # what was put after the text opens nothing
+        if match["tag"]:
+            name = match["tag"].lower()
+            if match["end"]:
+                if f"<{name}>" in stack:
+                    del stack[len(stack) - 1 - stack[::-1].index(f"<{name}>") :]
+            elif not taken_off and name not in VOID_TAGS and not c.endswith("/>"):
+                stack.append(f"<{name}>")
+        elif c in PAIRS or c == '"' and stack and stack[-1] == '"':
+            if stack and stack[-1] == PAIRS.get(c, c):
                 stack.pop()
-            else:
-                stack.append('"')
+        elif not taken_off:
+            stack.append(c)
     ended = bool(core) and core[-1] in ENDS and not dots
     return {"core": core, "open": "".join(stack), "broken": broken, "ended": ended, "dangling": bool(core) and core[-1] in ",;-–—(/&+", "dots": dots}
 
@@ -172,12 +180,12 @@ def _features(rows: DataFrame) -> DataFrame:
                 parts = _sentences(seen["core"])
                 words = tokens(parts[-1]) if parts else []
                 last = [_key(str(n), *words[-n:]) if len(words) >= n else None for n in (1, 2, 3)]
-                out.append((i, source, seen["core"], len(text), seen["ended"], seen["dangling"], seen["broken"], seen["dots"], len(words), *last, _key("head", *words[:2]) if len(words) > 2 else None, [_key(w) for w in set(words)], bool(words) and words[-1] == "#"))
-            names = ["id", "source", "core", "chars", "ended", "dangling", "broken", "dots", "words", "k1", "k2", "k3", "head", "bag", "number"]
+                out.append((i, source, seen["core"], len(text), seen["ended"], seen["dangling"], seen["broken"], bool(seen["open"]), len(words), *last, _key("head", *words[:2]) if len(words) > 2 else None, [_key(w) for w in set(words)], bool(words) and words[-1] == "#"))
+            names = ["id", "source", "core", "chars", "ended", "dangling", "broken", "opened", "words", "k1", "k2", "k3", "head", "bag", "number"]
             kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds], names)
 
-    schema = "id string, source string, core string, chars int, ended boolean, dangling boolean, broken boolean, dots boolean, words int, k1 long, k2 long, k3 long, head long, bag array<long>, number boolean"
+    schema = "id string, source string, core string, chars int, ended boolean, dangling boolean, broken boolean, opened boolean, words int, k1 long, k2 long, k3 long, head long, bag array<long>, number boolean"
     return rows.mapInArrow(read, schema)
 
 
@@ -230,13 +238,18 @@ def cut_texts(rows: DataFrame, corpus: DataFrame) -> DataFrame:
     short = F.col("words") < F.col("shortest")
     told = told.withColumn("hard", F.coalesce(~F.col("ended") & (unknown | F.col("dangling") | (F.col("broken") & (odds > 0.2)) | F.coalesce("goes_on", F.lit(False))), F.lit(False)))
     told = told.withColumn("needs", F.coalesce(lacks, F.lit(False)) | F.coalesce(short, F.lit(False))).withColumn("odds", odds).withColumn("unknown", unknown)
-    told = cut_lineage(told.select("id", "source", "ended", "hard", "needs", "odds", "unknown", "number", "e_k1", "i_k1", "e_k2", "i_k2", "goes_on", F.coalesce("spike", F.lit(False)).alias("spike")))
+    told = cut_lineage(told.select("id", "source", "ended", "hard", "needs", "odds", "unknown", "number", "e_k1", "i_k1", "e_k2", "i_k2", "goes_on", F.coalesce("spike", F.lit(False)).alias("spike"), "opened"))
     base = told.where("not ended").groupBy("source").agg(((F.count_if("hard") + 1) / (F.count(F.lit(1)) + 2)).alias("prior"))
     told = told.join(F.broadcast(base) if base.limit(BROADCAST_ROWS).count() < BROADCAST_ROWS else base, "source", "left")
+    # how often cuts leave a structure open, against the whole texts of the same source
+    torn = told.where("hard").agg(((F.count_if("opened") + 1) / (F.count(F.lit(1)) + 2)).alias("x")).first()["x"]
+    loose = told.where("ended").groupBy("source").agg(((F.count_if("opened") + 1) / (F.count(F.lit(1)) + 2)).alias("loose"))
+    told = told.join(F.broadcast(loose) if loose.limit(BROADCAST_ROWS).count() < BROADCAST_ROWS else loose, "source", "left")
+    tear = F.when(F.col("opened"), F.greatest(F.lit(1.0), torn / F.coalesce("loose", F.lit(0.5)))).otherwise(1.0)
     prior = F.greatest(F.lit(0.2), F.least(F.lit(0.8), F.coalesce("prior", F.lit(0.5))))
-    weight = prior / (1 - prior) * F.when(F.col("spike"), 5.0).otherwise(1.0) * F.when(F.col("goes_on") == F.lit(False), 0.2).otherwise(1.0)
+    weight = prior / (1 - prior) * F.when(F.col("spike"), 5.0).otherwise(1.0) * F.when(F.col("goes_on") == F.lit(False), 0.2).otherwise(1.0) * tear
     open_end = ~F.col("ended") & (F.col("hard") | F.col("needs") | (weight * F.col("odds") > 1))
-    closed = F.col("ended") & ((F.col("number") & (F.col("odds") > 20)) | ((F.col("e_k1") == 0) & (F.col("i_k1") >= 20) & (F.col("e_k2") == 0)))
+    closed = F.col("ended") & ((F.col("opened") & (F.col("odds") * tear > 20)) | (F.col("number") & (F.col("odds") > 20)) | ((F.col("e_k1") == 0) & (F.col("i_k1") >= 20) & (F.col("e_k2") == 0)))
     return told.select("id", "source", (open_end | closed).alias("cut"))
 
 
