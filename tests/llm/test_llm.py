@@ -10,7 +10,7 @@ from textloom.llm import answers, cuts, personal, shingles
 from textloom.llm.cross_split import canonical_video_id, cross_split_pairs, overlap_report
 from textloom.llm.encoding import RANKS, decode_ids, encode_texts
 from textloom.llm.leakage import leaked_items
-from textloom.llm.near_duplicates import near_duplicate_pairs
+from textloom.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
 
 WORDS = [f"w{i}" for i in range(60)]
 
@@ -75,6 +75,33 @@ def test_near_duplicates_of_one_member_of_a_group(spark):
     assert {tuple(r) for r in found} == {(1, 2), (1, 3), (2, 3)}
 
 
+def test_near_duplicates_of_a_hot_key(spark):
+    """Blocks of one key that go to tasks of their own give the same groups."""
+    rng = random.Random(9)
+    base = [rng.choices(WORDS, k=30) for _ in range(6)]
+    texts = []
+    for _ in range(240):
+        own = list(rng.choice(base))
+        for _ in range(rng.randint(0, 9)):
+            own[rng.randrange(30)] = f"x{rng.randrange(60)}"
+        texts.append(" ".join(own + rng.choices(WORDS, k=rng.choice([0, 5, 40]))))
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, body string")
+    whole = {tuple(r) for r in near_duplicate_groups(df, "k", "body").collect()}
+    assert whole and whole == {tuple(r) for r in near_duplicate_groups(df, "k", "body", most_groups=33).collect()}
+
+
+def test_word_hashes_agree_with_words():
+    """Hashes tell apart what words() tells apart, in ASCII and other batches alike, over windows too."""
+    texts = [None, "", "A b_c", "İstanbul ΣΑΣ, Straße 12½ ² हिंदी", "x" * 600_000 + " y z", "a b" * 200_000, "🚶 née"]
+    one, counts = shingles.word_hashes(texts)
+    own = [shingles.words(t or "") for t in texts]
+    assert [len(o) for o in own] == counts.tolist()
+    seen = dict(zip((w for o in own for w in o), one.tolist(), strict=True))
+    assert [seen[w] for o in own for w in o] == one.tolist() and len(set(seen.values())) == len(seen)
+    plain = [t for t in texts if t and t.isascii()]
+    assert [seen[w] for t in plain for w in shingles.words(t)] == shingles.word_hashes(plain)[0].tolist()
+
+
 @pytest.mark.parametrize(
     ("raw", "want"),
     [("AB1C2", "AB1C2"), ("ab1c2", "AB1C2"), (" charades/AB1C2.mp4", "AB1C2"), ("AB1C2_kf07", "AB1C2"), ("1234567890.0", "1234567890"), ("1,234,567,890\t", "1234567890"), ("1.23456789E9", "1234567890"), ("avcaps/1234567890", "1234567890"), ("12345", None), ("", None), (None, None), ("ABCDEF", None)],
