@@ -232,6 +232,27 @@ def test_open_structures_tell_cuts(spark):
     assert {k for k, v in got.items() if v and k[0] != "t"} == {"c0", "c1", "c2"}
 
 
+def test_refusals_of_any_length():
+    late = "The image was received. I looked at the file. I am sorry, but I cannot describe this scene."
+    long = "I am sorry, but I cannot describe this video. " + "I cannot say what stands in it, and I will not guess at it. " * 6 + "You may send another file with more light in it than this one has."
+    assert answers.is_refusal(late) and answers.is_refusal(long)
+    assert not answers.is_refusal("I am sorry to say so. A man in a red coat walks past the old table by the stairs, and a lamp falls. The floor is wet near the door and a dog sleeps on the carpet.")
+    reference = "A tall lamp stands near the door. A man in a red coat walks past the old table and then opens the window."
+    assert answers.defect(reference, "Here is the full description of this video that you asked me to write for you today: " + reference) == "copy"
+
+
+def test_own_sentence_is_no_evidence(spark):
+    """A text's own end doesn't make its last words an end: a number cut after its point, and a mark after a cut."""
+    rng = random.Random(8)
+    say = lambda: f"A {rng.choice(['red', 'tall', 'wooden'])} lamp stands {rng.randint(1, 9)}.{rng.randint(1, 9)} meters from the door. It is near a {rng.choice(['chair', 'table'])} by the stairs."
+    whole = [" ".join(say() for _ in range(3)) for _ in range(300)]
+    rows = [(f"w{i}", t) for i, t in enumerate(whole)] + [("n", whole[0] + " A tall lamp stands 4."), ("m", whole[1] + " It is near a."), ("p", whole[2][:40]), ("q", "A tall la")]
+    df = spark.createDataFrame([(i, "s", t) for i, t in rows], "id string, source string, text string")
+    pool = spark.createDataFrame([("A tall lamp stands by the wall of the hall.",)], "text string")
+    got = {r["id"]: r["why"] for r in cuts.cut_texts(df, pool).where("cut").collect()}
+    assert set(got) == {"n", "m", "p", "q"} and got["q"] == "shortened"
+
+
 def test_defective_pairs(spark):
     rows = [(1, "A lamp is near the door of the hall.", None, "f"), (1, "A lamp is near the door of the hall.", None, "f"), (2, None, "A tall lamp is here.", None)]
     df = spark.createDataFrame(rows, "output_id long, reference string, generated string, run_file string")

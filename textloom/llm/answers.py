@@ -1,8 +1,8 @@
 """Problem 1: answers that are no usable answer to their reference, each with its defect.
 
 Rules in this order, the first that holds: `empty`, `refusal`, `wrong_language`, `copy`, `truncated`. Truncation is that of
-`cuts`: sorted texts compared with their neighbours' common prefixes, spikes of lengths at a limit, and last sentences
-that need more words. A copy is found by the longest common subsequence of words. Languages are told by script, else by
+`cuts`: all answers and references in sorted order, a shortened one beside what it was cut from, spikes of lengths at a
+limit, and last sentences that need more words. A copy is found by the longest common subsequence of words. Languages are told by script, else by
 function words; languages without either are not told apart.
 """
 
@@ -12,6 +12,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +24,8 @@ from textloom.llm.cuts import cut_texts, is_empty
 COPIED = 0.75
 #: Words that a copy may add before the first copied word and elsewhere.
 LEAD_WORDS, ODD_WORDS = 10, 3
-REFUSAL_WORDS = 60
+#: Words of sentences that describe, of all words of an answer that declines, up to which it is a refusal.
+DESCRIBED = 0.25
 
 # Function words by language.
 FUNCTION_WORDS = {
@@ -38,59 +40,64 @@ FUNCTION_WORDS = {
 _SCRIPTS = (("hi", re.compile("[ऀ-ॿ]")), ("ru", re.compile("[Ѐ-ӿ]")), ("ar", re.compile("[؀-ۿ]")), ("zh", re.compile("[぀-ヿ一-鿿]")), ("ko", re.compile("[가-힯]")), ("el", re.compile("[Ͱ-Ͽ]")), ("he", re.compile("[֐-׿]")), ("th", re.compile("[฀-๿]")), ("bn", re.compile("[ঀ-৿]")), ("ta", re.compile("[஀-௿]")))
 _WORDS = {lang: set(words.split()) for lang, words in FUNCTION_WORDS.items()}
 _WEIGHT = {w: 1 / n for w, n in Counter(w for ws in _WORDS.values() for w in ws).items()}
+_OWNERS = {w: [lang for lang, own in _WORDS.items() if w in own] for w in _WEIGHT}
 _QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|‘[^’\n]{2,}’")
 
-# How answers decline, by language.
+# How answers decline, by language, each with words of which it holds at least one (Hindi: none).
 DECLINES = (
     # English
-    r"\b(?:i|we)(?:\s+am|'m|\s+are)?\s+(?:really\s+|very\s+|so\s+|deeply\s+)?(?:sorry|afraid)\b",
-    r"^(?:\W*)(?:sorry|apologies|my apologies|my regrets|regrettably|unfortunately)\b",
-    r"\b(?:i|we)\s+(?:\w+\s+)?(?:apologi[sz]e|regret)\b",
-    r"\b(?:i|we)\s+(?:\w+\s+)?(?:cannot|can\s*not|can't|could\s*n[o']t|won't|will\s+not|would\s+not|wouldn't|may\s+not|must\s+not|do\s+not|don't|did\s+not|didn't|decline|refuse|lack)\b",
-    r"\b(?:i|we)\s+(?:would|'d)\s+(?:rather|prefer)\s+(?:not|to\s+not)\b|\bprefer\s+not\s+to\b",
-    r"\b(?:i|we)\s+(?:must|have\s+to|need\s+to)\s+(?:\w+\s+)?(?:decline|refuse|refrain|abstain)\b",
-    r"\b(?:i|we)(?:\s+am|'m|\s+are)\s+(?:\w+\s+)?(?:unable|not\s+able|not\s+(?:allowed|permitted|authori[sz]ed|equipped|capable|going|programmed|comfortable|willing)|incapable|forbidden|prohibited)\b",
-    r"\b(?:i|we)\s+(?:have|'ve)\s+(?:been\s+)?(?:instructed|told|asked|trained|no\s+(?:access|way|ability|means))\b|\bi\s+only\s+(?:work|deal|process|handle)\b",
-    r"\b(?:not\s+possible|impossible)\s+for\s+(?:me|us)\b|\bbeyond\s+(?:what\s+i|my)\b|\boutside\s+(?:what\s+i|my)\b|\bwhat\s+i\s+(?:am|can|may)\b",
-    r"\bas\s+an?\s+(?:\w+\s+)?(?:ai|language\s+model|assistant|model|chatbot)\b",
-    r"\b(?:against|violates?|because\s+of|due\s+to|under|by)\s+(?:my|our|the|safety|content|company)?\s*(?:policy|policies|guidelines|rules|safety)\b",
-    r"\brequest\s+(?:was\s+|is\s+|has\s+been\s+)?(?:declined|denied|rejected|refused|blocked|cannot|can't|can\s+not|could\s+not)\b",
-    r"\b(?:no|a)\s+(?:description|caption|answer|account)\s+(?:can|could|will|may|is|cannot|can't)\b",
-    r"\b(?:this|the)\s+(?:assistant|model|system)\s+(?:refuses|declines|cannot|can't|is\s+unable|does\s+not|will\s+not|won't)\b|\bby\s+this\s+assistant\b",
-    r"\bcontent\s+(?:is\s+)?not\s+(?:allowed|permitted)\b|\byou\s+(?:will\s+)?need\s+another\s+tool\b",
+    ("i we", r"\b(?:i|we)(?:\s+am|'m|\s+are)?\s+(?:really\s+|very\s+|so\s+|deeply\s+)?(?:sorry|afraid)\b"),
+    ("sorry apologies regrets regrettably unfortunately", r"^(?:\W*)(?:sorry|apologies|my apologies|my regrets|regrettably|unfortunately)\b"),
+    ("i we", r"\b(?:i|we)\s+(?:\w+\s+)?(?:apologi[sz]e|regret)\b"),
+    ("i we", r"\b(?:i|we)\s+(?:\w+\s+)?(?:cannot|can\s*not|can't|could\s*n[o']t|won't|will\s+not|would\s+not|wouldn't|may\s+not|must\s+not|do\s+not|don't|did\s+not|didn't|decline|refuse|lack)\b"),
+    ("rather prefer", r"\b(?:i|we)\s+(?:would|'d)\s+(?:rather|prefer)\s+(?:not|to\s+not)\b|\bprefer\s+not\s+to\b"),
+    ("i we", r"\b(?:i|we)\s+(?:must|have\s+to|need\s+to)\s+(?:\w+\s+)?(?:decline|refuse|refrain|abstain)\b"),
+    ("i we", r"\b(?:i|we)(?:\s+am|'m|\s+are)\s+(?:\w+\s+)?(?:unable|not\s+able|not\s+(?:allowed|permitted|authori[sz]ed|equipped|capable|going|programmed|comfortable|willing)|incapable|forbidden|prohibited)\b"),
+    ("i we", r"\b(?:i|we)\s+(?:have|'ve)\s+(?:been\s+)?(?:instructed|told|asked|trained|no\s+(?:access|way|ability|means))\b|\bi\s+only\s+(?:work|deal|process|handle)\b"),
+    ("me us my i", r"\b(?:not\s+possible|impossible)\s+for\s+(?:me|us)\b|\bbeyond\s+(?:what\s+i|my)\b|\boutside\s+(?:what\s+i|my)\b|\bwhat\s+i\s+(?:am|can|may)\b"),
+    ("ai model assistant chatbot", r"\bas\s+an?\s+(?:\w+\s+)?(?:ai|language\s+model|assistant|model|chatbot)\b"),
+    ("policy policies guidelines rules safety", r"\b(?:against|violates?|because\s+of|due\s+to|under|by)\s+(?:my|our|the|safety|content|company)?\s*(?:policy|policies|guidelines|rules|safety)\b"),
+    ("request", r"\brequest\s+(?:was\s+|is\s+|has\s+been\s+)?(?:declined|denied|rejected|refused|blocked|cannot|can't|can\s+not|could\s+not)\b"),
+    ("description caption answer account", r"\b(?:no|a)\s+(?:description|caption|answer|account)\s+(?:can|could|will|may|is|cannot|can't)\b"),
+    ("assistant model system", r"\b(?:this|the)\s+(?:assistant|model|system)\s+(?:refuses|declines|cannot|can't|is\s+unable|does\s+not|will\s+not|won't)\b|\bby\s+this\s+assistant\b"),
+    ("content tool", r"\bcontent\s+(?:is\s+)?not\s+(?:allowed|permitted)\b|\byou\s+(?:will\s+)?need\s+another\s+tool\b"),
     # Spanish
-    r"\blo\s+(?:siento|lamento)\b|\blamento\b|\bme\s+temo\b|\b(?:mis\s+)?disculpas?\b|\bdisculpe\b|\bno\s+(?:puedo|podré|soy\s+capaz|me\s+es\s+posible|estoy\s+(?:autorizad|en\s+condiciones|en\s+posición)|tengo\s+(?:acceso|permitido|permiso))|\bme\s+(?:niego|abstengo)\b|\bcomo\s+(?:un\s+)?(?:modelo|asistente|ia\b|inteligencia)|\bsolicitud\s+(?:rechazada|denegada|no)|\bprefiero\s+no\b|\bno\s+se\s+puede\s+(?:dar|ofrecer|proporcionar)\b|\b(?:mi|mis|nuestras?)\s+(?:política|políticas|normas|directrices)\b",
+    ("siento lamento temo disculpa disculpas disculpe no niego abstengo como solicitud prefiero mi mis nuestra nuestras", r"\blo\s+(?:siento|lamento)\b|\blamento\b|\bme\s+temo\b|\b(?:mis\s+)?disculpas?\b|\bdisculpe\b|\bno\s+(?:puedo|podré|soy\s+capaz|me\s+es\s+posible|estoy\s+(?:autorizad|en\s+condiciones|en\s+posición)|tengo\s+(?:acceso|permitido|permiso))|\bme\s+(?:niego|abstengo)\b|\bcomo\s+(?:un\s+)?(?:modelo|asistente|ia\b|inteligencia)|\bsolicitud\s+(?:rechazada|denegada|no)|\bprefiero\s+no\b|\bno\s+se\s+puede\s+(?:dar|ofrecer|proporcionar)\b|\b(?:mi|mis|nuestras?)\s+(?:política|políticas|normas|directrices)\b"),
     # French
-    r"\bdésolée?\b|\bje\s+regrette\b|\bmalheureusement\b|\b(?:mes|toutes\s+mes)\s+excuses\b|\bje\s+(?:ne|n['’])\s*(?:peux|puis|pourrai|suis|saurais|dispose|ai|veux|vois|souhaite)\s*(?:pas|en)?|\bil\s+m['’]est\s+impossible\b|\bje\s+(?:refuse|décline|préfère\s+ne)|\ben\s+tant\s+qu(?:e|['’])|\bdemande\s+(?:refusée|rejetée|ne)|\baucune\s+description\b|\b(?:ma|mes|nos)\s+(?:politique|règles|consignes)\b",
+    ("désolé désolée regrette malheureusement excuses je impossible tant demande aucune ma mes nos", r"\bdésolée?\b|\bje\s+regrette\b|\bmalheureusement\b|\b(?:mes|toutes\s+mes)\s+excuses\b|\bje\s+(?:ne|n['’])\s*(?:peux|puis|pourrai|suis|saurais|dispose|ai|veux|vois|souhaite)\s*(?:pas|en)?|\bil\s+m['’]est\s+impossible\b|\bje\s+(?:refuse|décline|préfère\s+ne)|\ben\s+tant\s+qu(?:e|['’])|\bdemande\s+(?:refusée|rejetée|ne)|\baucune\s+description\b|\b(?:ma|mes|nos)\s+(?:politique|règles|consignes)\b"),
     # German
-    r"\btut\s+mir\s+leid\b|\bleider\b|\bentschuldigung\b|\bbedaure\b|\bich\s+(?:kann|darf|werde|möchte|will)\b.{0,60}\b(?:nicht|kein\w*|ablehnen)\b|\bkann\s+ich\b.{0,60}\b(?:nicht|kein\w*)\b|\bich\s+bin\s+nicht\b|\bnicht\s+in\s+der\s+lage\b|\bich\s+habe\s+kein\w*\b|\bals\s+(?:ki\b|sprachmodell|assistent|\w+\s+assistent)|\banfrage\s+(?:abgelehnt|verweigert|kann)|\b(?:meine|meiner|meinen|unsere)\s+richtlinien\b|\bich\s+(?:verweigere|lehne)\b",
+    ("leid leider entschuldigung bedaure ich nicht als anfrage meine meiner meinen unsere", r"\btut\s+mir\s+leid\b|\bleider\b|\bentschuldigung\b|\bbedaure\b|\bich\s+(?:kann|darf|werde|möchte|will)\b.{0,60}\b(?:nicht|kein\w*|ablehnen)\b|\bkann\s+ich\b.{0,60}\b(?:nicht|kein\w*)\b|\bich\s+bin\s+nicht\b|\bnicht\s+in\s+der\s+lage\b|\bich\s+habe\s+kein\w*\b|\bals\s+(?:ki\b|sprachmodell|assistent|\w+\s+assistent)|\banfrage\s+(?:abgelehnt|verweigert|kann)|\b(?:meine|meiner|meinen|unsere)\s+richtlinien\b|\bich\s+(?:verweigere|lehne)\b"),
     # Portuguese
-    r"\bdesculp\w+\b|\bsinto\s+muito\b|\binfelizmente\b|\bnão\s+(?:posso|poderei|consigo|sou\s+capaz|me\s+é\s+possível|estou\s+(?:autorizad|em\s+condições)|tenho\s+(?:acesso|permissão))|\bcomo\s+(?:um\s+)?(?:modelo|assistente|ia\b)|\bpedido\s+(?:recusado|negado|não)|\bprefiro\s+não\b|\brecuso\b|\bnão\s+é\s+possível\b|\b(?:minhas?|nossas?)\s+(?:política|políticas|diretrizes)\b",
+    ("desculpa desculpas desculpe desculpem desculpo sinto infelizmente não como pedido prefiro recuso minha minhas nossa nossas", r"\bdesculp\w+\b|\bsinto\s+muito\b|\binfelizmente\b|\bnão\s+(?:posso|poderei|consigo|sou\s+capaz|me\s+é\s+possível|estou\s+(?:autorizad|em\s+condições)|tenho\s+(?:acesso|permissão))|\bcomo\s+(?:um\s+)?(?:modelo|assistente|ia\b)|\bpedido\s+(?:recusado|negado|não)|\bprefiro\s+não\b|\brecuso\b|\bnão\s+é\s+possível\b|\b(?:minhas?|nossas?)\s+(?:política|políticas|diretrizes)\b"),
     # Italian, Dutch
-    r"\bmi\s+dispiace\b|\bnon\s+(?:posso|sono\s+in\s+grado)\b|\bpurtroppo\b|\bhet\s+spijt\s+me\b|\bhelaas\b|\bik\s+kan\b.{0,40}\bniet\b",
+    ("dispiace non purtroppo spijt helaas ik", r"\bmi\s+dispiace\b|\bnon\s+(?:posso|sono\s+in\s+grado)\b|\bpurtroppo\b|\bhet\s+spijt\s+me\b|\bhelaas\b|\bik\s+kan\b.{0,40}\bniet\b"),
     # Hindi
-    r"माफ़?|क्षमा|खेद\s|असमर्थ|(?:कर|दे|बता|देख)\s+(?:नहीं\s+)?(?:सकता|सकती|सकते)?\s*नहीं|नहीं\s+(?:कर|दे|बता|देख)\s+सक|(?:मैं|मुझे|मेरी|मेरे).{0,60}नहीं|अनुरोध\s+(?:अस्वीकार|पूरा)|सहायक\s+के\s+रूप",
+    ("", r"माफ़?|क्षमा|खेद\s|असमर्थ|(?:कर|दे|बता|देख)\s+(?:नहीं\s+)?(?:सकता|सकती|सकते)?\s*नहीं|नहीं\s+(?:कर|दे|बता|देख)\s+सक|(?:मैं|मुझे|मेरी|मेरे).{0,60}नहीं|अनुरोध\s+(?:अस्वीकार|पूरा)|सहायक\s+के\s+रूप"),
 )
-_DECLINE = re.compile("|".join(f"(?:{x})" for x in DECLINES), re.I | re.M)
+_DECLINE = [(set(needs.split()), re.compile(x, re.I | re.M)) for needs, x in DECLINES]
 _SAYS = re.compile(r"[.!?।;\n]+\s*")
 
 
+def _unquoted(text: str) -> str:
+    return _QUOTED.sub(" ", text) if any(c in text for c in "\"“«‘") else text
+
+
+@lru_cache(maxsize=4_096)  # references are repeated
 def language(text: str | None) -> str | None:
     """The language of most of a text, quoted words left out; null where it can't be told."""
     if not text:
         return None
-    bare = _QUOTED.sub(" ", text)
-    letters = sum(map(str.isalpha, bare)) or 1
-    for lang, script in _SCRIPTS:
-        if len(script.findall(bare)) > 0.4 * letters:
-            return lang
-    words = shingles.WORD.findall(bare.lower())
+    bare = _unquoted(text)
+    if not bare.isascii():
+        letters = sum(map(str.isalpha, bare)) or 1
+        for lang, script in _SCRIPTS:
+            if len(script.findall(bare)) > 0.4 * letters:
+                return lang
+    words = shingles.words(bare)
     score: Counter = Counter()
-    for w in words:
-        if w in _WEIGHT:
-            for lang, own in _WORDS.items():
-                if w in own:
-                    score[lang] += _WEIGHT[w]
+    for w, n in Counter(words).items():
+        for lang in _OWNERS.get(w, ()):
+            score[lang] += n * _WEIGHT[w]
     if not score:
         return None
     (best, most), *rest = score.most_common(2)
@@ -100,15 +107,17 @@ def language(text: str | None) -> str | None:
 
 
 def is_refusal(text: str) -> bool:
-    """It declines, outside quotes: short, its first sentence declines and so do, or add nothing, most of the others."""
-    bare = _QUOTED.sub(" ", text.replace("’", "'").strip())
-    if len(bare.split()) > REFUSAL_WORDS:
+    """A sentence of it declines, outside quotes, and at most a quarter of its words stand in sentences that describe: those
+    of ten words or more that don't decline."""
+    bare = _unquoted(text.replace("’", "'").strip())
+    own = set(shingles.words(bare))
+    found = [p for needs, p in _DECLINE if (own & needs if needs else not bare.isascii()) and p.search(bare)]
+    if not found:
         return False
     parts = [p for p in _SAYS.split(bare) if p.strip()]
-    if not parts or not any(_DECLINE.search(p) for p in parts[:2]):
-        return False
-    told = sum(1 for p in parts if not _DECLINE.search(p) and len(p.split()) > 9)
-    return told == 0
+    declines = [any(x.search(p) for x in found) for p in parts]
+    told = sum(len(p.split()) for p, no in zip(parts, declines, strict=True) if not no and len(p.split()) > 9)
+    return any(declines) and told <= DESCRIBED * len(bare.split())
 
 
 def copied(reference: list[str], answer: list[str]) -> bool:
@@ -146,7 +155,10 @@ def defect(reference: str | None, answer: str | None) -> str | None:
         asked, given = language(reference), language(answer)
         if asked and given and asked != given:
             return "wrong_language"
-        if copied(shingles.words(reference), shingles.words(answer)):
+        asked_words = shingles.words(reference)
+        lead, _, rest = answer.partition(":")
+        # a lead-in of any length ends in a colon within its first sentence
+        if copied(asked_words, shingles.words(answer)) or (rest and not _SAYS.search(lead) and copied(asked_words, shingles.words(rest))):
             return "copy"
     return None
 
