@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators import judge as J
@@ -140,3 +141,45 @@ def test_schema_changes(spark):
     table = consistent_table(df, "payload", schema_changes(df, "payload"))
     assert "x" in table.columns and "z" not in table.columns
     assert sorted(r["x"] for r in table.where("x is not null").collect()) == [1.0, 2.0, 2.0, 2.0, 4.0, 4.0, 5.0]
+
+
+def test_renames_are_matched_to_the_end(spark):
+    """Two fields of equal values are renamed at once: both renames come out, whatever pair is taken first."""
+    files = [[(v, {"a": i, "b": i, "k": 1}) for i, v in enumerate("uvw")], [(v, {"x": i, "y": i, "k": 1}) for i, v in enumerate("uvw")]]
+    got = {tuple(r) for r in schema_changes(spark.createDataFrame(records(files), SCHEMA), "payload").collect()}
+    assert got == {("f2", "renamed", "a", "x"), ("f2", "renamed", "b", "y")}
+
+
+def test_one_table_keeps_all_values(spark):
+    """One run renames a to x, another b to x, and a third has both a and b in its records: no value is lost."""
+    one = [[("u", {"a": 1}), ("v", {"a": 2})], [("u", {"x": 1}), ("v", {"x": 2})]]
+    two = [[("u", {"b": 5}), ("v", {"b": 6})], [("u", {"x": 5}), ("v", {"x": 6})]]
+    three = [[("u", {"a": 7, "b": 8, "Extra": 1}), ("v", {"a": 9, "b": 10, "extra": 2})]]
+    rows = [(run, no, f"{run}{file}", vid, raw) for run, files in (("r1", one), ("r2", two), ("r3", three)) for _, no, file, vid, raw in records(files)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("extra", F.lit("own"))
+    table = consistent_table(df, "payload", schema_changes(df, "payload"))
+    held = sorted(v for r in table.collect() for k, v in r.asDict().items() if isinstance(v, float))
+    assert held == sorted([1, 2, 1, 2, 5, 6, 5, 6, 7, 8, 9, 10, 1, 2]) and [r["extra"] for r in table.collect()] == ["own"] * 10
+
+
+def test_shared_folder_is_asked_for(spark, monkeypatch):
+    from textloom import session
+
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda name, other=None: other)})
+        sparkContext = type("S", (), {"master": "spark://host:7077", "getCheckpointDir": staticmethod(lambda: None)})  # noqa: N815
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Cluster)
+    written = session.cut_lineage(spark.range(3))
+    assert written.count() == 3
+
+
+def test_absent_and_broken_sinks(spark, tmp_path):
+    assert not I.table_exists(spark, str(tmp_path / "none"))
+    (tmp_path / "empty").mkdir()
+    assert not I.table_exists(spark, str(tmp_path / "empty"))
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception):  # noqa: B017 a sink that can't be read isn't taken for absent
+        I.table_exists(spark, str(tmp_path / "bad"))

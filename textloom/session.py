@@ -2,35 +2,63 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Where a session without spark.checkpoint.dir (tests, a laptop) keeps its checkpoints.
+#: Where a session without a checkpoint folder on one machine (tests, a laptop) keeps its steps.
 _LOCAL: dict[str, str] = {}
+#: Folders of steps that clear_steps deletes.
+_WRITTEN: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or on a session without one a temporary folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share: spark.checkpoint.dir, else the folder of setCheckpointDir.
+
+    A session that runs on one machine may have neither and gets a temporary folder; on a cluster that is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
-        return named
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = "file://" + tempfile.mkdtemp(prefix="textloom-")
     return _LOCAL["dir"]
 
 
+def step_path(spark: SparkSession, kind: str = "steps") -> str:
+    """A new path in the shared folder, in a folder of this application that clear_steps deletes."""
+    folder = f"{shared_dir(spark)}/textloom-{spark.sparkContext.applicationId}"
+    if not _WRITTEN:
+        atexit.register(clear_steps, spark)
+    _WRITTEN.add(folder)
+    return f"{folder}/{kind}-{uuid.uuid4().hex}"
+
+
+def clear_steps(spark: SparkSession) -> None:
+    """Deletes what this application wrote to the shared folder; also done when Python exits. Frames whose steps stand
+    there can't be read afterwards."""
+    jvm = spark.sparkContext._jvm
+    for folder in list(_WRITTEN):
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _WRITTEN.discard(folder)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The rows of df, written once as a table in the shared folder, so that later steps don't compute them again.
 
     Unlike a checkpoint's, the sizes of such a table are known to the planner, which else may take it for small enough to
     be broadcast.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/steps/{uuid.uuid4().hex}"
+    path = step_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:

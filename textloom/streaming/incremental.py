@@ -14,14 +14,13 @@ def remaining(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a written table with rows stands at the path."""
+    """Whether a written table with rows stands at the path. A folder without data files is none; a table that can't be
+    read is an error, so that a resumed run never takes it for absent."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return False
-    try:
-        return not spark.read.parquet(path).isEmpty()
-    except Exception:  # noqa: BLE001 an empty or foreign folder
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop) or not any(not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(hadoop)):
         return False
+    return not spark.read.parquet(path).isEmpty()
 
 
 def resume(todo: DataFrame, sink: str, key: str, process: Callable[[DataFrame], DataFrame], limit: int | None = None, pos: str | None = None) -> DataFrame:
