@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.llm import answers, cuts, personal, shingles
-from textloom.llm.cross_split import canonical_video_id, cross_split_pairs, overlap_report
+from textloom.llm.cross_split import canonical_video_id, cross_split_overlaps, cross_split_pairs, overlap_report, pairs_across
 from textloom.llm.encoding import RANKS, decode_ids, encode_texts
 from textloom.llm.leakage import leaked_items
 from textloom.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
@@ -125,10 +125,20 @@ def test_cross_split_is_exact(spark):
     pairs = cross_split_pairs(e, t)
     got = [tuple(r) for r in pairs.collect()]
     assert len(got) == len(set(got)) and set(got) == want
-    assert overlap_report(e, pairs).agg(F.sum("pairs")).first()[0] == len(want)
+    overlaps = cross_split_overlaps(e, t)
+    assert overlap_report(e, overlaps).agg(F.sum("pairs")).first()[0] == len(want)
+    alike_ones = {(a, b) for a, _, _, _, ta in evals for b, _, tb in train if alike(sets(ta), sets(tb))}
+    assert {(r["eval_id"], r["train_id"]) for r in overlaps.where("spans > 0").collect()} == alike_ones
     assert cross_split_pairs(e.limit(0), t).count() == 0 and cross_split_pairs(e, t.limit(0)).count() == 0
 
 
+def test_pairs_across_splits_both_sides(spark):
+    left = spark.createDataFrame([(1, i) for i in range(3)] + [(2, 9), (None, 1), (4, None)], "k long, a long")
+    right = spark.createDataFrame([(1, i) for i in range(40)] + [(3, 9), (None, 1), (1, 0)], "k long, b long")
+    got = [(r["a"], r["b"]) for r in pairs_across(left, right, "k", "a", "b", block=7).collect()]
+    assert len(got) == 120 and set(got) == {(a, b) for a in range(3) for b in range(40)}
+
+
 def test_leaks_are_exact(spark):
     rng = random.Random(3)
     items = [(i, " ".join(rng.choices([f"term{k}" for k in range(400)], k=rng.randint(25, 60)))) for i in range(30)]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.answers import defective_pairs
-from textloom.llm.cross_split import cross_split_pairs, overlap_report
+from textloom.llm.cross_split import cross_split_overlaps, cross_split_pairs, overlap_report
 from textloom.llm.cuts import cut_texts, truncation_by_source
 from textloom.llm.encoding import decode_ids, encode_texts
 from textloom.llm.leakage import leaked_items
@@ -47,7 +47,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap_report(_table(spark, sf_dir, "balanced_eval"), p4_found(spark, sf_dir))
+    evals = _table(spark, sf_dir, "balanced_eval")
+    return overlap_report(evals, cross_split_overlaps(evals, _table(spark, sf_dir, "balanced_train")))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

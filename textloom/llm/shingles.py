@@ -103,6 +103,13 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), np.diff(np.searchsorted(np.concatenate(places), begins))
 
 
+def run_hashes(word: np.ndarray) -> np.ndarray:
+    """The hash of every three neighbouring words."""
+    if len(word) < RUN:
+        return np.zeros(0, np.uint64)
+    return mix(mix(word[:-2] * _M1 + word[1:-1]) * _M2 + word[2:]) >> np.uint64(64 - RUN_BITS)
+
+
 def sorted_by(cell: np.ndarray) -> np.ndarray:
     """The places of the array in the order of its values, equal ones in the order they stand in."""
     bits = max(1, len(cell).bit_length())
@@ -120,7 +127,7 @@ def run_sets(texts: list[str | None], least: int = LEAST_WORDS) -> tuple[np.ndar
     doc = np.repeat(np.arange(len(texts)), counts)
     if len(word) < RUN:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    run = mix(mix(word[:-2] * _M1 + word[1:-1]) * _M2 + word[2:]) >> np.uint64(64 - RUN_BITS)
+    run = run_hashes(word)
     keep = (doc[:-2] == doc[2:]) & (counts[doc[:-2]] >= least)
     both = np.sort((doc[:-2][keep].astype(np.uint64) << np.uint64(RUN_BITS)) | run[keep])
     first = np.ones(len(both), bool)
