@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from textloom.functions.text import col, ngrams, normalized_answer, py_strip, py_tokens
+from textloom.functions.text import col, normalized_answer, py_strip
 
 
 def anls(pred: Column | str, truth: Column | str, threshold: float = 0.5) -> Column:
@@ -95,22 +98,54 @@ def rouge_l(reference: Column | str, hypothesis: Column | str, beta: float = 1.0
     return F.coalesce(F.try_divide((1 + beta**2) * p * q, q + beta**2 * p), F.lit(0.0))
 
 
-def ngram_matches(pairs: DataFrame, key: str, hypothesis: str, reference: str, orders: int = 4, group: tuple[str, ...] = ()) -> DataFrame:
-    """Per group and n: clipped matches, n-grams of hypotheses, and both lengths; all on lower-case white-space tokens."""
-    tokens = pairs.select(*group, F.col(key).alias("_k"), py_tokens(F.lower(hypothesis)).alias("h"), py_tokens(F.lower(reference)).alias("r"))
-    made = [tokens.select(*group, "_k", F.lit(n).alias("n"), ngrams("h", n).alias("h"), ngrams("r", n).alias("r")) for n in range(1, orders + 1)]
-    every = made[0]
-    for other in made[1:]:
-        every = every.unionByName(other)
-    both = every.select(*group, "_k", "n", F.explode("h").alias("gram"), F.lit(1).alias("ours"), F.lit(0).alias("theirs")).unionByName(every.select(*group, "_k", "n", F.explode("r").alias("gram"), F.lit(0).alias("ours"), F.lit(1).alias("theirs")))
-    counted = both.groupBy(*group, "_k", "n", "gram").agg(F.sum("ours").alias("ours"), F.sum("theirs").alias("theirs"))
-    return counted.groupBy(*group, "n").agg(F.sum(F.least("ours", "theirs")).alias("correct"), F.sum("ours").alias("guess"), F.sum("theirs").alias("reference"))
+_MATCHES = [f"{c}{n}" for c in ("correct", "guess", "reference") for n in range(1, 5)]
+
+
+@F.pandas_udf(StructType([StructField(c, LongType()) for c in _MATCHES]))
+def _matches(hypothesis: pd.Series, reference: pd.Series) -> pd.DataFrame:
+    """Per row and n: clipped matches and the n-grams of both sides; nulls have none."""
+
+    def one(h: str | None, r: str | None) -> list[int]:
+        a, b = (h or "").split(), (r or "").split()
+        correct, guess, wanted = [], [], []
+        for n in range(1, 5):
+            x, y = (list(zip(*(t[i:] for i in range(n)))) for t in (a, b))  # noqa: B905 the shortest ends the n-grams
+            ours, theirs = Counter(x), Counter(y)
+            correct.append(sum(min(c, theirs[g]) for g, c in ours.items() if g in theirs))
+            guess.append(len(x))
+            wanted.append(len(y))
+        return correct + guess + wanted
+
+    return pd.DataFrame([one(h, r) for h, r in zip(hypothesis, reference, strict=True)], columns=_MATCHES, dtype="int64")
+
+
+def tokenized_13a(c: Column | str) -> Column:
+    """Text whose white-space tokens are those of the mteval-v13a script: punctuation apart, but within numbers."""
+    # The script's replacements, in its order.
+    steps = (
+        (r"<skipped>", ""), (r"-\n", ""), (r"\n", " "), (r"&quot;", '"'), (r"&amp;", "&"), (r"&lt;", "<"), (r"&gt;", ">"), (r"^|$", " "),
+        (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "), (r"([^0-9])([\.,])", "$1 $2 "), (r"([\.,])([^0-9])", " $1 $2"), (r"([0-9])(-)", "$1 $2 "),
+    )
+    out = col(c)
+    for pattern, into in steps:
+        out = F.regexp_replace(out, pattern, into)
+    return out
+
+
+def ngram_matches(pairs: DataFrame, hypothesis: str, reference: str, group: tuple[str, ...] = (), tokens: str = "lower") -> DataFrame:
+    """Per group and n: clipped matches, n-grams of hypotheses and of references, counted within each row, so that only a
+    row per group and task is shuffled. Tokens are split at white space: `lower` case, or `13a` in the text's own case."""
+    made = {"lower": F.lower, "13a": tokenized_13a}[tokens]
+    rows = pairs.select(*group, _matches(made(hypothesis), made(reference)).alias("m"))
+    sums = rows.groupBy(*group).agg(*[F.coalesce(F.sum(f"m.{c}"), F.lit(0)).alias(c) for c in _MATCHES])
+    parts = F.array(*[F.struct(F.lit(n).alias("n"), *[F.col(f"{c}{n}").alias(c) for c in ("correct", "guess", "reference")]) for n in range(1, 5)])
+    return sums.select(*group, F.explode(parts).alias("p")).select(*group, "p.*")
 
 
 def bleu(stats: DataFrame, group: tuple[str, ...] = (), smooth: str = "none") -> DataFrame:
     """BLEU-1 and BLEU-4 (0 to 100) of ngram_matches: geometric mean of precisions times brevity penalty.
 
-    smooth: none, or exp (the k-th precision without a match is 1 / (2**k * guesses)).
+    smooth: none, or exp (the k-th precision without a match is 1 / (2**k * guesses); nltk's method 3 is the same).
     """
     at = lambda n, c: F.max(F.when(F.col("n") == n, F.col(c)))
     wide = stats.groupBy(*group).agg(*[at(n, c).cast("double").alias(f"{c}{n}") for n in range(1, 5) for c in ("correct", "guess")], at(1, "reference").cast("double").alias("ref"))
@@ -125,11 +160,47 @@ def bleu(stats: DataFrame, group: tuple[str, ...] = (), smooth: str = "none") ->
     return wide.select(*group, (100 * F.coalesce(brevity, F.lit(0.0)) * precision[0]).alias("bleu1"), (100 * F.coalesce(brevity, F.lit(0.0)) * F.pow(product, F.lit(0.25))).alias("bleu4"))
 
 
+@F.pandas_udf(ArrayType(StructType([StructField("n", IntegerType()), StructField("gram", LongType()), StructField("ours", IntegerType()), StructField("theirs", IntegerType())])))
+def _gram_counts(hypothesis: pd.Series, reference: pd.Series, orders: pd.Series) -> pd.Series:
+    """The distinct n-grams of a row as 64-bit hashes, with their uses on both sides; orders has the values of n as digits."""
+    mask = (1 << 64) - 1
+
+    def code(gram: tuple) -> int:
+        h = 1469598103934665603
+        for w in gram:
+            h = ((h ^ numbers[w]) * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & mask
+            h ^= h >> 29
+        return h - (1 << 64) if h >> 63 else h
+
+    class Numbers(dict):
+        def __missing__(self, w: str) -> int:
+            import hashlib
+
+            value = self[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+            return value
+
+    numbers = Numbers()
+    out = []
+    for h, r, o in zip(hypothesis, reference, orders, strict=True):
+        a, b, row = (h or "").split(), (r or "").split(), []
+        for n in map(int, o):
+            ours, theirs = (Counter(zip(*(t[i:] for i in range(n)))) for t in (a, b))  # noqa: B905
+            row += [(n, code(g), ours[g], theirs[g]) for g in ours.keys() | theirs.keys()]
+        out.append(row)
+    return pd.Series(out)
+
+
+def _gram_rows(pairs: DataFrame, key: str, hypothesis: str, reference: str, orders: str) -> DataFrame:
+    counts = pairs.select(F.col(key).alias("_k"), _gram_counts(F.lower(hypothesis), F.lower(reference), F.lit(orders)).alias("g"))
+    return counts.select("_k", F.explode("g").alias("g")).select("_k", "g.*")
+
+
 def tfidf_cosine(pairs: DataFrame, key: str, hypothesis: str, reference: str, n: int = 4) -> DataFrame:
-    """(key, cosine): TF-IDF cosine over n-grams, idf = ln((N + 1) / (df + 1)) over references; 0 without n-grams."""
-    rows = pairs.select(F.col(key).alias("_k"), ngrams(py_tokens(F.lower(hypothesis)), n).alias("h"), ngrams(py_tokens(F.lower(reference)), n).alias("r"))
-    both = rows.select("_k", F.explode("h").alias("gram"), F.lit(1).alias("ours"), F.lit(0).alias("theirs")).unionByName(rows.select("_k", F.explode("r").alias("gram"), F.lit(0).alias("ours"), F.lit(1).alias("theirs")))
-    counted = both.groupBy("_k", "gram").agg(F.sum("ours").alias("ours"), F.sum("theirs").alias("theirs"))
+    """(key, cosine): TF-IDF cosine over n-grams, idf = ln((N + 1) / (df + 1)) over references; 0 without n-grams.
+
+    N-grams are counted within their row and compared by 64-bit hashes; keys are unique.
+    """
+    counted = _gram_rows(pairs, key, hypothesis, reference, str(n))
     df = counted.where("theirs > 0").groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     total = pairs.agg(F.count(F.lit(1)).alias("docs"))
     weighed = counted.join(df, "gram", "left").crossJoin(F.broadcast(total)).withColumn("idf", F.ln((F.col("docs") + 1) / (F.coalesce("df", F.lit(0)) + 1)))
@@ -139,30 +210,72 @@ def tfidf_cosine(pairs: DataFrame, key: str, hypothesis: str, reference: str, n:
     return pairs.select(F.col(key).alias("_k")).join(scored, "_k", "left").select(F.col("_k").alias(key), F.coalesce("cosine", F.lit(0.0)).alias("cosine"))
 
 
+def cider(pairs: DataFrame, key: str, hypothesis: str, reference: str, sigma: float = 6.0) -> DataFrame:
+    """(key, cider): consensus score of n-grams of one to four tokens: clipped TF-IDF products over both norms, damped by the
+    difference in length (in bigrams), ten times the mean over n. idf = ln(N) - ln(max(1, df)) over references."""
+    counted = _gram_rows(pairs, key, hypothesis, reference, "1234")
+    df = counted.where("theirs > 0").groupBy("n", "gram").agg(F.count(F.lit(1)).alias("df"))
+    total = pairs.agg(F.count(F.lit(1)).alias("docs"))
+    weighed = counted.join(df, ["n", "gram"], "left").crossJoin(F.broadcast(total)).withColumn("idf", F.ln("docs") - F.ln(F.coalesce(F.greatest("df", F.lit(1)), F.lit(1))))
+    ours, theirs = F.col("ours") * F.col("idf"), F.col("theirs") * F.col("idf")
+    per = weighed.groupBy("_k", "n").agg(F.sum(F.least(ours, theirs) * theirs).alias("dot"), F.sqrt(F.sum(ours * ours)).alias("h"), F.sqrt(F.sum(theirs * theirs)).alias("r"), F.sum(F.col("ours") - F.col("theirs")).alias("longer"))
+    delta = F.max(F.when(F.col("n") == 2, F.col("longer")))
+    value = F.sum(F.coalesce(F.try_divide(F.col("dot"), F.col("h") * F.col("r")), F.lit(0.0))) / 4 * F.exp(-F.pow(F.coalesce(delta, F.lit(0)), 2) / (2 * sigma**2)) * 10
+    scored = per.groupBy("_k").agg(value.alias("cider"))
+    return pairs.select(F.col(key).alias("_k")).join(scored, "_k", "left").select(F.col("_k").alias(key), F.coalesce("cider", F.lit(0.0)).alias("cider"))
+
+
+def _common(masks: dict[str, int], bits: int, b: str) -> int:
+    """The length of the longest common subsequence, by bits; masks has the places of each character of the other text."""
+    full = (1 << bits) - 1
+    v = full
+    for c in b:
+        u = v & masks.get(c, 0)
+        v = ((v + u) | (v - u)) & full
+    return bits - v.bit_count()
+
+
 @F.pandas_udf(BooleanType())
 def repeats_itself(parts: pd.Series) -> pd.Series:
-    """Whether any two sentences of an array have a Ratcliff/Obershelp ratio above 0.75."""
+    """Whether any two sentences of an array have a Ratcliff/Obershelp ratio above 0.75.
+
+    The matched characters are at most those that both hold, and at most their longest common subsequence: pairs that
+    these bounds rule out aren't matched. Repeated arrays are judged once a batch.
+    """
     from difflib import SequenceMatcher
-    from itertools import combinations
 
-    def one(x) -> bool:
-        for a, b in combinations(list(x), 2):
-            m = SequenceMatcher(None, a, b)
-            if m.real_quick_ratio() > 0.75 and m.quick_ratio() > 0.75 and m.ratio() > 0.75:
-                return True
+    def one(x: tuple[str, ...]) -> bool:
+        n = np.array([len(t) for t in x])
+        held = np.array([np.bincount(np.frombuffer(t.encode("utf-32-le"), "<u4") & 63, minlength=64) for t in x]) if len(x) else np.zeros((0, 64), int)
+        masks: dict[int, dict[str, int]] = {}
+        for i in range(len(x) - 1):
+            both = np.minimum(held[i], held[i + 1 :]).sum(axis=1)
+            for j in np.flatnonzero(2 * both > 0.75 * (n[i] + n[i + 1 :])) + i + 1:
+                if i not in masks:
+                    spots: dict[str, int] = {}
+                    for at, c in enumerate(x[i]):
+                        spots[c] = spots.get(c, 0) | 1 << at
+                    masks[i] = spots
+                if 2 * _common(masks[i], len(x[i]), x[j]) > 0.75 * (n[i] + n[j]) and SequenceMatcher(None, x[i], x[j]).ratio() > 0.75:
+                    return True
         return False
 
-    return parts.map(lambda x: None if x is None else one(x))
+    known: dict[tuple[str, ...], bool] = {}
+    out = []
+    for x in parts:
+        key = None if x is None else tuple(x)
+        if key is not None and key not in known:
+            known[key] = one(key)
+        out.append(None if key is None else known[key])
+    return pd.Series(out, dtype="object")
 
 
 @F.pandas_udf(DoubleType())
-def meteor(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
-    """Exact-match METEOR on lower-case white-space tokens (no stems or synonyms: their data are not public here)."""
-
+def _meteor(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
     def one(r: str | None, h: str | None) -> float | None:
         if r is None or h is None:
             return None
-        a, b = h.lower().split(), r.lower().split()
+        a, b = h.split(), r.split()
         spots: dict[str, list[int]] = {}
         for j, w in enumerate(b):
             spots.setdefault(w, []).append(j)
@@ -182,3 +295,9 @@ def meteor(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
         return 10 * p * q / (q + 9 * p) * (1 - 0.5 * (chunks / m) ** 3)
 
     return pd.Series([one(r, h) for r, h in zip(reference, hypothesis, strict=True)])
+
+
+def meteor(reference: Column | str, hypothesis: Column | str, lower: bool = True) -> Column:
+    """Exact-match METEOR on white-space tokens, in lower or in their own case (no synonyms: their data are not public here)."""
+    r, h = col(reference), col(hypothesis)
+    return _meteor(F.lower(r), F.lower(h)) if lower else _meteor(r, h)

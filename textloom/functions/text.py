@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,7 +81,8 @@ def outer_object(c: Column | str) -> Column:
 
 
 def ngrams(tokens: Column | str, n: int) -> Column:
-    """The n-grams of an array, joined by spaces; fewer tokens than n give an empty array."""
+    """The n-grams of an array, joined by spaces; fewer tokens than n give an empty array. The array should be a column that
+    isn't computed in the same projection, or it is computed again for each n-gram."""
     t = col(tokens)
     return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
@@ -99,6 +102,27 @@ def hits(c: Column | str, bank: tuple[str, ...]) -> Column:
     return F.array_compact(F.array(*[F.when(F.contains(lower, F.lit(w)), F.lit(w)) for w in bank]))
 
 
+def template(pattern: str, **parts: Column | str) -> Column:
+    """str.format with named fields: each {name} is replaced by its column; null stands empty."""
+    out: list[Column] = []
+    at = 0
+    for match in re.finditer(r"\{(\w+)\}", pattern):
+        out += [F.lit(pattern[at : match.start()]), F.coalesce(col(parts[match[1]]).cast("string"), F.lit(""))]
+        at = match.end()
+    return F.concat(*out, F.lit(pattern[at:]))
+
+
+def zero_padded(c: Column | str, width: int) -> Column:
+    """f"{n:0{width}d}": longer numbers stay whole."""
+    return F.format_string(f"%0{width}d", col(c).cast("long"))
+
+
+def first_or_scalar(c: Column | str) -> Column:
+    """Of a JSON text: the first element of an array, the text of a scalar; null for an empty array."""
+    c = col(c)
+    return F.when(F.ltrim(c).startswith("["), F.try_variant_get(F.try_parse_json(c), "$[0]", "string")).otherwise(c)
+
+
 def video_id(c: Column | str) -> Column:
     """Ids stay strings; a trailing .0 of a number is taken off."""
     return F.regexp_replace(py_strip(c), r"\.0$", "")

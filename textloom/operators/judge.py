@@ -28,12 +28,18 @@ def clamped(value: Column, low: int = 1, high: int = 10) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
 
 
-def scores(df: DataFrame, raw: str, dims: tuple[str, ...] = DIMS, on_error: str = "zero", low: int = 1, high: int = 10) -> DataFrame:
+def is_number(raw: str, field: str) -> Column:
+    """Whether the field of a JSON object is a number by its type, not a text that can be read as one."""
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(F.col(raw)), f"$.{field}", "variant"))
+    return F.coalesce(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.lit(False))
+
+
+def scores(df: DataFrame, raw: str, dims: tuple[str, ...] = DIMS, on_error: str = "zero", low: int = 1, high: int = 10, nested: bool = False) -> DataFrame:
     """df with an INT column per dim and `failed`. A row fails if it has no object or a dim is missing or no number.
 
-    on_error: zero fills its dims with 0, skip drops it, count keeps nulls.
+    on_error: zero fills its dims with 0, skip drops it, count keeps nulls. nested objects reach to the last brace.
     """
-    out = df.withColumn("_m", parsed(F.col(raw)))
+    out = df.withColumn("_m", parsed(F.col(raw), nested))
     found = {d: as_int(F.try_element_at("_m", F.lit(d))) for d in dims}
     bad = F.lit(False)
     for value in found.values():

@@ -37,7 +37,7 @@ def _lifespans_sql(table: str, payload: str) -> str:
     typed AS (SELECT run_name, file_no, file_name, field, {kinds} AS kind FROM (SELECT *, json_type(raw, '$."' || field || '"') AS t FROM rows)),
     per AS (SELECT run_name, file_no, file_name, field, count(*) AS carried, count(kind) AS valued FROM typed GROUP BY ALL),
     best AS (SELECT run_name, file_no, file_name, field, kind, count(*) AS n FROM typed WHERE kind IS NOT NULL GROUP BY ALL),
-    had AS (SELECT run_name, place, field, best.kind FROM per JOIN files USING (run_name, file_no, file_name) LEFT JOIN best ON best.run_name = per.run_name AND best.file_no IS NOT DISTINCT FROM per.file_no AND best.file_name = per.file_name AND best.field = per.field AND 2 * best.n > per.valued WHERE 2 * carried > records),
+    had AS (SELECT per.run_name, place, per.field, best.kind FROM per JOIN files USING (run_name, file_no, file_name) LEFT JOIN best ON best.run_name = per.run_name AND best.file_no IS NOT DISTINCT FROM per.file_no AND best.file_name = per.file_name AND best.field = per.field AND 2 * best.n > per.valued WHERE 2 * carried > records),
     filled AS (SELECT *, coalesce(last_value(kind IGNORE NULLS) OVER (PARTITION BY run_name, field ORDER BY place), 'unknown') AS type FROM had),
     marked AS (SELECT *, CASE WHEN place - lag(place) OVER w = 1 AND type = lag(type) OVER w THEN 0 ELSE 1 END AS new FROM filled WINDOW w AS (PARTITION BY run_name, field ORDER BY place))
     SELECT *, sum(new) OVER (PARTITION BY run_name, field ORDER BY place) AS island FROM marked) GROUP BY run_name, field, type, island"""

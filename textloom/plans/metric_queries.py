@@ -11,6 +11,7 @@ from textloom.operators import judge as J
 from textloom.operators import report as R
 from textloom.operators import windows as W
 from textloom.plans.registry import Tables, query
+from textloom.session import step_path
 from textloom.streaming import incremental as I
 
 _TOK = "list_filter(regexp_split_to_array({}, '[\\t\\n\\x0B\\f\\r \\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+'), lambda x: x <> '')"
@@ -26,16 +27,22 @@ def _outputs(t: Tables) -> DataFrame:
 
 _OUTPUTS = "SELECT * FROM sft_patch_v2_outputs WHERE reference <> '' AND generated <> '' AND NOT starts_with(generated, '[')"
 _ROWS = f"o AS (SELECT condition, output_id, {_TOK.format('lower(generated)')} AS h, {_TOK.format('lower(reference)')} AS r FROM ({_OUTPUTS}))"
-_COUNTED = (
-    f"WITH {_ROWS}, e AS ("
-    + " UNION ALL ".join(f"SELECT condition, output_id, {n} AS n, unnest({_grams(c, n)}) AS gram, {int(c == 'h')} AS ours, {int(c == 'r')} AS theirs FROM o" for n in range(1, 5) for c in "hr")
-    + "), c AS (SELECT condition, output_id, n, gram, sum(ours) AS ours, sum(theirs) AS theirs FROM e GROUP BY ALL), s AS (SELECT condition, n, sum(least(ours, theirs)) AS correct, sum(ours) AS guess, sum(theirs) AS reference FROM c GROUP BY ALL)"
-)
+
+
+def _counted(rows: str) -> str:
+    return (
+        f"WITH {rows}, e AS ("
+        + " UNION ALL ".join(f"SELECT condition, output_id, {n} AS n, unnest({_grams(c, n)}) AS gram, {int(c == 'h')} AS ours, {int(c == 'r')} AS theirs FROM o" for n in range(1, 5) for c in "hr")
+        + "), c AS (SELECT condition, output_id, n, gram, sum(ours) AS ours, sum(theirs) AS theirs FROM e GROUP BY ALL), s AS (SELECT condition, n, sum(least(ours, theirs)) AS correct, sum(ours) AS guess, sum(theirs) AS reference FROM c GROUP BY ALL)"
+    )
+
+
+_COUNTED = _counted(_ROWS)
 
 
 @query(_COUNTED + " SELECT condition, n, correct::bigint AS correct, guess::bigint AS guess, reference::bigint AS reference FROM s")
 def o_agg_13(t: Tables) -> DataFrame:
-    return M.ngram_matches(_outputs(t), "output_id", "generated", "reference", group=("condition",))
+    return M.ngram_matches(_outputs(t), "generated", "reference", group=("condition",))
 
 
 _WIDE = ", w AS (SELECT condition, " + ", ".join(f"max({c}) FILTER (n = {n})::double AS {c}{n}" for n in range(1, 5) for c in ("correct", "guess")) + ", max(reference) FILTER (n = 1)::double AS ref FROM s GROUP BY condition), b AS (SELECT *, CASE WHEN guess1 > ref THEN 1.0 ELSE exp(1 - ref / guess1) END AS bp FROM w)"
@@ -47,6 +54,47 @@ def o_met_1(t: Tables) -> DataFrame:
     return out.select("condition", F.round("bleu1", 6).alias("bleu1"), F.round("bleu4", 6).alias("bleu4"))
 
 
+_SMOOTH = " SELECT condition, round(100 * bp * p1, 6) AS bleu1, round(100 * bp * pow(p1 * p2 * p3 * p4, 0.25), 6) AS bleu4 FROM (SELECT condition, bp, " + ", ".join(
+    f"CASE WHEN correct{n} > 0 THEN correct{n} / guess{n} ELSE pow(2, -(" + " + ".join(f"(correct{k} = 0)::int" for k in range(1, n + 1)) + f")) / guess{n} END AS p{n}" for n in range(1, 5)
+) + " FROM b)"
+_STEPS_13A = (("<skipped>", ""), ("-\\n", ""), ("\\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("^|$", " "), (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 "), (r"([^0-9])([\.,])", r"\1 \2 "), (r"([\.,])([^0-9])", r" \1 \2"), ("([0-9])(-)", r"\1 \2 "))
+
+
+def _sql_13a(c: str) -> str:
+    for pattern, into in _STEPS_13A:
+        c = f"regexp_replace({c}, '{pattern}', '{into}', 'g')"
+    return c
+
+
+_ROWS_13A = f"o AS (SELECT condition, output_id, {_TOK.format(_sql_13a('generated'))} AS h, {_TOK.format(_sql_13a('reference'))} AS r FROM ({_OUTPUTS}))"
+
+
+@query(_counted(_ROWS_13A) + _WIDE + _SMOOTH)
+def o_met_1a(t: Tables) -> DataFrame:
+    """Corpus BLEU on 13a tokens with exponential smoothing."""
+    out = M.bleu(M.ngram_matches(_outputs(t), "generated", "reference", ("condition",), "13a"), ("condition",), "exp")
+    return out.select("condition", F.round("bleu1", 6).alias("bleu1"), F.round("bleu4", 6).alias("bleu4"))
+
+
+@query(_COUNTED + _WIDE + _SMOOTH)
+def o_met_1b(t: Tables) -> DataFrame:
+    """Corpus BLEU on lower-case white-space tokens with smoothing method 3."""
+    out = M.bleu(o_agg_13(t), ("condition",), "exp")
+    return out.select("condition", F.round("bleu1", 6).alias("bleu1"), F.round("bleu4", 6).alias("bleu4"))
+
+
+@query(
+    f"WITH {_ROWS}, e AS (" + " UNION ALL ".join(f"SELECT output_id, {n} AS n, unnest({_grams(c, n)}) AS gram, {int(c == 'h')} AS ours, {int(c == 'r')} AS theirs FROM o" for n in range(1, 5) for c in "hr") + """),
+c AS (SELECT output_id, n, gram, sum(ours) AS ours, sum(theirs) AS theirs FROM e GROUP BY ALL), d AS (SELECT gram, n, count(*) AS df FROM c WHERE theirs > 0 GROUP BY gram, n),
+x AS (SELECT c.*, ln((SELECT count(*) FROM o)) - ln(greatest(coalesce(df, 1), 1)) AS idf FROM c LEFT JOIN d USING (gram, n)),
+p AS (SELECT output_id, n, sum(least(ours * idf, theirs * idf) * theirs * idf) AS dot, sqrt(sum(pow(ours * idf, 2))) AS h, sqrt(sum(pow(theirs * idf, 2))) AS r, sum(ours - theirs) AS longer FROM x GROUP BY ALL),
+s AS (SELECT output_id, sum(CASE WHEN h * r > 0 THEN dot / (h * r) ELSE 0 END) / 4 * exp(-pow(coalesce(max(longer) FILTER (n = 2), 0), 2) / 72) * 10 AS cider FROM p GROUP BY output_id)
+SELECT output_id, round(coalesce(cider, 0), 5) AS cider FROM o LEFT JOIN s USING (output_id)"""
+)
+def o_met_4b(t: Tables) -> DataFrame:
+    return M.cider(_outputs(t), "output_id", "generated", "reference").withColumn("cider", F.round("cider", 5))
+
+
 @query()
 def o_met_2(t: Tables) -> DataFrame:
     return _outputs(t).select("output_id", F.round(M.rouge_l("reference", "generated"), 6).alias("rouge_l"), F.round(M.rouge_l("reference", "generated", 1.2), 6).alias("rouge_l_beta"))
@@ -54,7 +102,7 @@ def o_met_2(t: Tables) -> DataFrame:
 
 @query()
 def o_met_3(t: Tables) -> DataFrame:
-    return _outputs(t).select("output_id", F.round(M.meteor("reference", "generated"), 6).alias("meteor"))
+    return _outputs(t).select("output_id", F.round(M.meteor("reference", "generated"), 6).alias("meteor"), F.round(M.meteor("reference", "generated", lower=False), 6).alias("meteor_cased"))
 
 
 @query(f"""WITH {_ROWS}, e AS (SELECT output_id, unnest({_grams('h', 4)}) AS gram, 1 AS ours, 0 AS theirs FROM o UNION ALL SELECT output_id, unnest({_grams('r', 4)}), 0, 1 FROM o),
@@ -76,14 +124,28 @@ def o_met_6(t: Tables) -> DataFrame:
     return t.sft_patch_v2_outputs.select("output_id", F.round(M.anls(plain("generated"), plain("reference")), 6).alias("anls"))
 
 
-@query()
-def o_met_7_8(t: Tables) -> DataFrame:
+_WSC = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_STRIPPED = lambda x: f"regexp_replace({x}, '^{_WSC}+|{_WSC}+$', '', 'g')"
+_NORMAL = lambda x: _STRIPPED(f"regexp_replace({_STRIPPED(f'lower({x})')}, '[^\\p{{L}}\\p{{N}}_{_WSC[1:-1]}]', '', 'g')")
+_TRUTHS = "SELECT video_id, list(DISTINCT reference) FILTER (reference IS NOT NULL) AS truths FROM sft_patch_v2_outputs GROUP BY video_id"
+
+
+@query(f"SELECT output_id, round(least(1.0, len(list_filter(coalesce(truths, []), lambda t: {_NORMAL('t')} = {_NORMAL('generated')})) / 3), 6)::double AS accuracy FROM sft_patch_v2_outputs JOIN ({_TRUTHS}) USING (video_id) WHERE generated IS NOT NULL")
+def o_met_8(t: Tables) -> DataFrame:
     """Answers: the generated texts of a video against all references of it."""
     truths = t.sft_patch_v2_outputs.groupBy("video_id").agg(F.collect_set("reference").alias("truths"))
     rows = t.sft_patch_v2_outputs.where("generated is not null").join(truths, "video_id")
     return rows.select("output_id", F.round(M.vqa_accuracy("generated", "truths"), 6).alias("accuracy"))
 
 
+@query(f"SELECT output_id, round(max(CASE WHEN g = '' THEN (p = '')::int::double WHEN nl > 0.5 THEN 0 ELSE 1 - nl END), 6) AS anls FROM (SELECT output_id, p, g, levenshtein(p, g) / greatest(length(p), length(g), 1) AS nl FROM (SELECT output_id, {_P} AS p, unnest([{_G}, trim(lower(condition))]) AS g FROM sft_patch_v2_outputs)) GROUP BY output_id")
+def o_met_7(t: Tables) -> DataFrame:
+    """The best of several truths: the reference, and the name of the condition."""
+    plain = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\x00-\x7F]", "?")
+    rows = t.sft_patch_v2_outputs.select("output_id", plain("generated").alias("p"), F.array(plain("reference"), F.col("condition")).alias("truths"))
+    return rows.select("output_id", F.round(M.best_anls("p", "truths"), 6).alias("anls"))
+
+
 @query()
 def o_met_9(t: Tables) -> DataFrame:
     return _outputs(t).groupBy("condition").agg(F.round(100 * F.avg(M.wer("reference", "generated")), 4).alias("wer"))
@@ -96,12 +158,29 @@ _ALL = " AND ".join(f"try_cast(json_extract_string(scores, '$.{d}') AS double) I
 
 @query(f"SELECT rec_id, {', '.join(f'CASE WHEN {_ALL} THEN {x} ELSE 0 END AS {d}' for d, x in _DIM.items())}, NOT coalesce({_ALL}, false) AS failed FROM sft_patch_v2_judge_scores")
 def o_jsn_3_4_5_6(t: Tables) -> DataFrame:
-    flat = t.sft_patch_v2_judge_scores.select("rec_id", "scores").withColumn("_m", F.from_json("scores", "map<string,string>"))
-    found = {d: J.as_int(F.try_element_at("_m", F.lit(d))) for d in J.DIMS}
-    bad = F.lit(False)
-    for v in found.values():
-        bad = bad | v.isNull()
-    return flat.withColumn("failed", bad).select("rec_id", *[F.when(F.col("failed"), 0).otherwise(J.clamped(v)).alias(d) for d, v in found.items()], "failed")
+    return J.scores(t.sft_patch_v2_judge_scores.select("rec_id", "scores"), "scores", nested=True).select("rec_id", *J.DIMS, "failed")
+
+
+@query(f"SELECT count(*) AS all_rows, count(*) FILTER ({_ALL}) AS kept, count(*) FILTER (NOT coalesce({_ALL}, false)) AS failures, round(avg(CASE WHEN {_ALL} THEN {_DIM['clarity']} ELSE 0 END), 6) AS zero_filled, round(avg(CASE WHEN {_ALL} THEN {_DIM['clarity']} END), 6) AS skipped FROM sft_patch_v2_judge_scores")
+def o_jsn_6(t: Tables) -> DataFrame:
+    """The three policies for failed answers side by side."""
+    rows = t.sft_patch_v2_judge_scores.select("rec_id", "scores")
+    zero, skip, count = (J.scores(rows, "scores", on_error=p, nested=True) for p in ("zero", "skip", "count"))
+    one = zero.agg(F.count(F.lit(1)).alias("all_rows"), F.round(F.avg("clarity"), 6).alias("zero_filled"))
+    two = skip.agg(F.count(F.lit(1)).alias("kept"), F.round(F.avg("clarity"), 6).alias("skipped"))
+    return one.join(two).join(count.agg(F.count_if("failed").alias("failures"))).select("all_rows", "kept", "failures", "zero_filled", "skipped")
+
+
+@query(f"SELECT count(*) AS n, round(avg(clarity), 6) AS clarity FROM (SELECT {', '.join(f'CASE WHEN {_ALL} THEN {x} ELSE 0 END AS {d}' for d, x in _DIM.items())} FROM sft_patch_v2_judge_scores) WHERE " + " OR ".join(f"{d} > 0" for d in J.DIMS))
+def o_flt_12(t: Tables) -> DataFrame:
+    rows = J.without_failures(J.scores(t.sft_patch_v2_judge_scores, "scores", nested=True))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("clarity"), 6).alias("clarity"))
+
+
+@query("SELECT rec_id FROM sft_patch_v2_judge_scores WHERE json_type(scores, '$.accuracy') IN ('BIGINT', 'UBIGINT', 'DOUBLE')")
+def o_flt_14(t: Tables) -> DataFrame:
+    """A type guard: records whose accuracy is a number, not a text that looks like one."""
+    return t.sft_patch_v2_judge_scores.where(J.is_number("scores", "accuracy")).select("rec_id")
 
 
 @query("SELECT doc_id, regexp_extract(text, '(?s)\\{[^}]+\\}') AS first, regexp_extract(text, '(?s)\\{.*\\}') AS outermost FROM documents WHERE contains(text, '{') AND contains(text, '}')")
@@ -114,7 +193,7 @@ _SCORED = f"(SELECT run_name, {', '.join(f'{x} AS {d}' for d, x in _DIM.items())
 
 def _scored(t: Tables) -> DataFrame:
     m = t.sft_patch_v2_judge_scores.withColumn("_m", F.from_json("scores", "map<string,string>"))
-    return m.select("run_name", *[J.clamped(J.as_int(F.try_element_at("_m", F.lit(d)))).alias(d) for d in J.DIMS])
+    return m.select("run_name", *[J.clamped(J.as_int(F.try_element_at("_m", F.lit(d)))).alias(d) for d in dict.fromkeys((*J.DIMS, *J.NAVIGATION_DIMS["c"]))])
 
 
 @query(f"SELECT run_name, count(*) AS n, {', '.join(f'round(avg({d}), 6) AS {d}' for d in J.DIMS)} FROM {_SCORED} GROUP BY run_name")
@@ -129,9 +208,9 @@ def o_agg_4_5(t: Tables) -> DataFrame:
     return m.select("run_name", "n", *[F.round(d, 6).alias(d) for d in J.DIMS])
 
 
-@query(f"SELECT run_name, round(avg(({' + '.join(J.CONTEXT_DIMS)}) / 4), 6) AS mcf, round(avg(({' + '.join(J.NAVIGATION_DIMS['a'])}) / 4), 6) AS naf_a, round(avg(({' + '.join(J.NAVIGATION_DIMS['b'])}) / 4), 6) AS naf_b FROM {_SCORED} GROUP BY run_name")
+@query(f"SELECT run_name, round(avg(({' + '.join(J.CONTEXT_DIMS)}) / 4), 6) AS mcf, round(avg(({' + '.join(J.NAVIGATION_DIMS['a'])}) / 4), 6) AS naf_a, round(avg(({' + '.join(J.NAVIGATION_DIMS['b'])}) / 4), 6) AS naf_b, round(avg(({' + '.join(f'greatest(1, least(10, ' + _NUM.format('scores', d) + '))' for d in J.NAVIGATION_DIMS['c'])}) / 4), 6) AS naf_c FROM sft_patch_v2_judge_scores, LATERAL (SELECT {', '.join(f'{x} AS {d}' for d, x in _DIM.items())}) GROUP BY run_name")
 def o_agg_6_7(t: Tables) -> DataFrame:
-    comp = {"mcf": J.CONTEXT_DIMS, "naf_a": J.NAVIGATION_DIMS["a"], "naf_b": J.NAVIGATION_DIMS["b"]}
+    comp = {"mcf": J.CONTEXT_DIMS, "naf_a": J.NAVIGATION_DIMS["a"], "naf_b": J.NAVIGATION_DIMS["b"], "naf_c": J.NAVIGATION_DIMS["c"]}
     return _scored(t).groupBy("run_name").agg(*[F.round(F.avg(R.composite(list(d))), 6).alias(k) for k, d in comp.items()])
 
 
@@ -224,9 +303,13 @@ def o_win_6(t: Tables) -> DataFrame:
     return W.moving_average(t.events.select("user_id", "event_id", "value"), "user_id", "event_id", "value").select("user_id", "event_id", F.round(F.col("smooth") + 1e-9, 6).alias("smooth"))
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT user_id, ts::date AS day, round(avg(value), 6) AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts::date) AS i FROM events WHERE value IS NOT NULL AND ts IS NOT NULL GROUP BY user_id, ts::date),
+f AS (SELECT user_id, 0 AS i, '-infinity'::double AS best, 0 AS streak, NULL::date AS stop FROM (SELECT DISTINCT user_id FROM d)
+UNION ALL SELECT f.user_id, d.i, CASE WHEN stop IS NOT NULL OR v <= best + 1 THEN best ELSE v END, CASE WHEN stop IS NOT NULL THEN streak WHEN v <= best + 1 THEN streak + 1 ELSE 0 END,
+CASE WHEN stop IS NOT NULL THEN stop WHEN v <= best + 1 AND streak + 1 >= 3 THEN day END FROM f JOIN d ON d.user_id = f.user_id AND d.i = f.i + 1)
+SELECT user_id, best, streak, stop FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1""")
 def o_win_7_str_3(t: Tables) -> DataFrame:
-    daily = t.events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.round(F.avg("value"), 6).alias("value"))
+    daily = t.events.where("value is not null and ts is not null").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.round(F.avg("value"), 6).alias("value"))
     return W.plateau(daily, "user_id", "day", "value")
 
 
@@ -297,3 +380,50 @@ def x_5(t: Tables) -> DataFrame:
 @query("SELECT date_trunc('month', ts)::date AS month, count(*) AS n, max(date_diff('day', DATE '2024-01-01', ts::date)) AS last_day FROM events GROUP BY 1")
 def x_9(t: Tables) -> DataFrame:
     return t.events.groupBy(F.date_trunc("month", "ts").cast("date").alias("month")).agg(F.count(F.lit(1)).alias("n"), F.max(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))).alias("last_day"))
+
+
+@query("SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_linenumber), ()) UNION ALL SELECT l_returnflag, l_linestatus, NULL, sum(l_linenumber)::bigint FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def x_2_sets(t: Tables) -> DataFrame:
+    """Grouping sets, and a rollup."""
+    a, b, c = F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_linenumber")
+    sets = t.lineitem.groupingSets([[a, b], [c], []], a, b, c).agg(F.count(F.lit(1)).alias("n"))
+    roll = t.lineitem.rollup(a, b).agg(F.sum("l_linenumber").cast("bigint").alias("n"))
+    return sets.unionByName(roll.select("l_returnflag", "l_linestatus", F.lit(None).cast("int").alias("l_linenumber"), "n"))
+
+
+@query("SELECT event_id, count(*) OVER w AS near, min(value) OVER w AS least FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY epoch(ts)::bigint RANGE BETWEEN 3600 PRECEDING AND 1800 FOLLOWING)")
+def x_3_range(t: Tables) -> DataFrame:
+    """A frame by time, not by rows."""
+    w = Window.partitionBy("user_id").orderBy("s").rangeBetween(-3600, 1800)
+    return t.events.where("ts is not null").withColumn("s", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)).select("event_id", F.count(F.lit(1)).over(w).alias("near"), F.min("value").over(w).alias("least"))
+
+
+@query("SELECT user_id, event_type FROM events EXCEPT ALL SELECT DISTINCT user_id, event_type FROM events")
+def x_4_all(t: Tables) -> DataFrame:
+    """A difference that counts repeats."""
+    rows = t.events.select("user_id", "event_type")
+    return rows.exceptAll(rows.distinct())
+
+
+@query("SELECT w AS window_start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 30 MINUTE, time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 30 MINUTE]) AS w, ts FROM events WHERE ts IS NOT NULL) WHERE w <= ts AND ts < w + INTERVAL 1 HOUR GROUP BY ALL")
+def x_6_sliding(t: Tables) -> DataFrame:
+    return I.sliding(t.events.where("ts is not null"), "ts", "1 hour", "30 minutes", "event_type")
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL")
+def x_6_stream(t: Tables) -> DataFrame:
+    """A stream with a watermark, run until what is there is read; windows that a later row would be too late for stand in
+    the sink, the last ones in its state, so all are closed by one row far ahead."""
+    folder = step_path(t.spark, "stream")
+    rows = t.events.where("ts is not null").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    rows.write.parquet(f"{folder}/in/a")
+    source = lambda: t.spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+
+    def run() -> None:
+        windows = I.sliding(source(), "ts", "1 day", "1 day", "event_type", late="400 days")
+        windows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+
+    run()
+    rows.limit(1).select((F.max("ts").over(Window.partitionBy()) + F.expr("interval 5000 days")).alias("ts"), F.lit("end").alias("event_type")).write.parquet(f"{folder}/in/b")
+    run()
+    return t.spark.read.parquet(f"{folder}/out").where("event_type <> 'end'").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

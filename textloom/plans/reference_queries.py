@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.plans import metric_queries, set_queries, text_queries  # noqa: F401 they register their queries
+from textloom.plans import format_queries, metric_queries, set_queries, text_queries  # noqa: F401 they register their queries
 from textloom.plans.registry import QUERIES, SQL
 
 

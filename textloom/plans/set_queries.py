@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.vectors import top_k
+from textloom.functions.rubrics import VALID_SPATIAL
+from textloom.functions.vectors import py_round, top_k
 from textloom.operators import pairs as P
 from textloom.operators import sets as S
 from textloom.plans.registry import Tables, query
@@ -188,6 +189,44 @@ def o_snk_7_8(t: Tables) -> DataFrame:
     return S.upsert(old, new, "model")
 
 
+_WS = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_S = lambda x: f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
+_VALID = f"length({_S('blv_description')}) >= 30 AND (" + " OR ".join(f"contains(lower(blv_description), '{w}')" for w in VALID_SPATIAL) + ")"
+_RAW = _S("coalesce(original_caption, '')")
+_PAIRS = f"""SELECT caption_id AS pair_id, {_S('blv_description')} AS chosen, CASE WHEN length({_RAW}) >= 3 AND NOT (starts_with({_RAW}, 'c0') AND length({_RAW}) < 10) THEN {_RAW} ELSE 'A scene.' END AS rejected,
+coalesce(len(keyframe_paths), 0) + 1 AS parts, 'Describe the scene.' || CASE WHEN coalesce(rag_context, '') <> '' THEN chr(10) || 'Context: ' || rag_context ELSE '' END AS asked, rag_context FROM all_captions WHERE {_VALID}"""
+_END = "'<end_of_utterance>' || chr(10)"
+_TURN = f"length({_S('rag_context')}) > 10"
+
+
+@query(f"SELECT pair_id, chosen, rejected, parts::int AS parts, asked, keyframe FROM (SELECT p.*, c.keyframe_paths[1] AS keyframe FROM ({_PAIRS}) p JOIN all_captions c ON c.caption_id = p.pair_id)")
+def o_arr_5_flt_5(t: Tables) -> DataFrame:
+    """The pairs of o_arr_5_pairs, their nested prompts taken apart again."""
+    content = F.col("prompt")[0]["content"]
+    out = P.preference_pairs(t.all_captions, "Describe the scene.")
+    return out.select("pair_id", "chosen", "rejected", F.size(content).alias("parts"), F.element_at(content, -1)["text"].alias("asked"), content[0]["image"].alias("keyframe"))
+
+
+@query(f"SELECT pair_id::varchar AS pair_id, 1 AS messages, chosen, rejected FROM ({_PAIRS}) UNION ALL SELECT pair_id || '_mt', 3, rag_context, 'A scene.' FROM ({_PAIRS}) WHERE {_TURN}")
+def o_arr_6_flat(t: Tables) -> DataFrame:
+    return o_arr_6(t).select("pair_id", F.size("prompt").alias("messages"), "chosen", "rejected")
+
+
+@query(f"SELECT pair_id::varchar AS pair_id, 'User: ' || asked || {_END} AS chat FROM ({_PAIRS}) UNION ALL SELECT pair_id || '_mt', 'User: ' || asked || {_END} || 'Assistant: ' || chosen || {_END} || 'User: What is nearby?' || {_END} FROM ({_PAIRS}) WHERE {_TURN}")
+def o_txt_10_13(t: Tables) -> DataFrame:
+    """Chat transcripts, with a line of context where there is one."""
+    return o_arr_6(t).select("pair_id", P.transcript(F.col("prompt")).alias("chat"))
+
+
+@query("""WITH a AS (SELECT row_number() OVER (ORDER BY eval_id) AS i, eval_id, blv_description AS reference FROM balanced_eval), b AS (SELECT row_number() OVER (ORDER BY row_id DESC) AS i, row_id, caption AS hypothesis FROM ten_video_eval)
+SELECT eval_id, row_id, reference, hypothesis FROM a JOIN b USING (i)""")
+def o_jn_10(t: Tables) -> DataFrame:
+    """Two lists zipped by position: positions come from ranges, so neither list goes to one task."""
+    a, _ = S.ranked(t.balanced_eval.select("eval_id", F.col("blv_description").alias("reference")), "eval_id")
+    b, _ = S.ranked(t.ten_video_eval.select("row_id", F.col("caption").alias("hypothesis")), "row_id", F.desc("row_id"))
+    return a.join(b, "pos").select("eval_id", "row_id", "reference", "hypothesis")
+
+
 @query()
 def o_arr_5_pairs(t: Tables) -> DataFrame:
     return P.preference_pairs(t.all_captions, "Describe the scene.")
@@ -200,14 +239,18 @@ def o_arr_6(t: Tables) -> DataFrame:
     return P.with_turns(pairs, turns)
 
 
-@query()
-def o_txt_13(t: Tables) -> DataFrame:
-    return o_arr_6(t).select("pair_id", P.transcript(F.col("prompt")).alias("chat"))
+_TOKENS = lambda c: f"len(regexp_split_to_array(coalesce({c}, ''), '[ \\t\\n\\x0B\\f\\r]+'))"
 
 
-@query()
+@query(f"""WITH r AS (SELECT output_id, output_id // 8 AS batch, {_TOKENS('reference')} AS p, least({_TOKENS('generated')}, 40) AS g FROM sft_patch_v2_outputs),
+f AS (SELECT *, least(p + g, 96) AS n FROM r WHERE p < 96) SELECT output_id, (max(n) OVER (PARTITION BY batch))::int AS width, n::int AS used, (n - p)::int AS learned FROM f""")
 def o_arr_9_10(t: Tables) -> DataFrame:
     ids = lambda c: F.transform(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda w: F.pmod(F.crc32(w), F.lit(50_000)).cast("int"))
     rows = t.sft_patch_v2_outputs.select("output_id", ids(F.col("reference")).alias("prompt"), ids(F.col("generated")).alias("response"), F.floor(F.col("output_id") / 8).alias("batch"))
     out = P.training_rows(rows, "prompt", "response", "batch", 96, 40)
     return out.select("output_id", F.size("input_ids").alias("width"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("used"), F.size(F.filter("labels", lambda x: x != -100)).alias("learned"))
+
+
+@query("SELECT event_id, round(value / 3, 2) AS third FROM events WHERE value IS NOT NULL")
+def o_mth_2(t: Tables) -> DataFrame:
+    return t.events.where("value is not null").select("event_id", py_round(F.col("value") / 3, 2).alias("third"))

@@ -91,9 +91,6 @@ def o_txt_7(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.normalized_answer("text").alias("normal"))
 
 
-_BLV = [*R.CONTEXT_BANKS, "blv_mean"]
-
-
 @query(
     "SELECT condition, count(*) AS n, "
     + ", ".join(f"round(avg(({_any('generated', bank)})::int), 6) AS {name}" for name, bank in (R.CONTEXT_BANKS | R.NAVIGATION_BANKS).items())
@@ -187,3 +184,90 @@ def o_agg_1(t: Tables) -> DataFrame:
     df = t.all_captions.where("blv_description is not null").withColumn("s", R.curation_score_1("blv_description"))
     clean = F.size(R.flags("blv_description", "s")) == 0
     return df.agg(F.count(F.lit(1)).alias("total"), F.count_if(clean).alias("kept"), F.count_if(~clean).alias("rejected"), F.round(100.0 * F.count_if(clean) / F.count(F.lit(1)), 4).alias("kept_pct"))
+
+
+@query("SELECT caption_id FROM all_captions WHERE keyframe_paths IS NOT NULL")
+def o_flt_6(t: Tables) -> DataFrame:
+    """Records that have the key."""
+    return t.all_captions.where("keyframe_paths is not null").select("caption_id")
+
+
+# Ids that are left out, and ids that alone are kept, as static sets.
+LEFT_OUT, KEPT = (1, 5, 25, 125), (2, 3, 5, 7, 11)
+
+
+@query(f"SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey NOT IN {LEFT_OUT} AND n_nationkey IN {KEPT}")
+def o_flt_13(t: Tables) -> DataFrame:
+    return t.customer.where(~F.col("c_custkey").isin(*LEFT_OUT)).join(t.nation.where(F.col("n_nationkey").isin(*KEPT)), F.expr("c_nationkey = n_nationkey")).select("c_custkey")
+
+
+@query(f"SELECT caption_id, {_strip('original_caption')} AS reasoning, {_strip('blv_description')} AS whole FROM all_captions WHERE original_caption IS NOT NULL AND blv_description IS NOT NULL AND NOT contains(original_caption, '<') AND NOT contains(blv_description, '<')")
+def o_txt_6(t: Tables) -> DataFrame:
+    """What stands in a tag, over lines; without the tag the whole text."""
+    rows = t.all_captions.where("original_caption is not null and blv_description is not null and not contains(original_caption, '<') and not contains(blv_description, '<')")
+    tagged = rows.withColumn("x", F.concat(F.lit("<reasoning>\n"), "original_caption", F.lit(" </reasoning>"), "blv_description"))
+    return tagged.select("caption_id", T.tagged("x", "reasoning").alias("reasoning"), T.tagged("blv_description", "description", whole=True).alias("whole"))
+
+
+@query("SELECT output_id, 'Reference: ' || coalesce(reference, '') || chr(10) || 'Answer ' || output_id || ': ' || coalesce(generated, '') || ' {end}' AS prompt FROM sft_patch_v2_outputs")
+def o_txt_9(t: Tables) -> DataFrame:
+    prompt = T.template("Reference: {reference}\nAnswer {n}: {generated} ", reference="reference", n="output_id", generated="generated")
+    return t.sft_patch_v2_outputs.select("output_id", F.concat(prompt, F.lit("{end}")).alias("prompt"))
+
+
+_FENCED = "chr(96) || chr(96) || chr(96)"
+
+
+@query(f"SELECT rec_id, {_strip('scores')} AS body FROM sft_patch_v2_judge_scores WHERE scores IS NOT NULL AND NOT contains(scores, {_FENCED})")
+def o_txt_11(t: Tables) -> DataFrame:
+    """A fenced JSON block and a bare one give the same text."""
+    rows = t.sft_patch_v2_judge_scores.where("scores is not null and not contains(scores, '```')")
+    fenced = F.when(F.col("rec_id") % 2 == 0, F.concat(F.lit("Here:\n```json\n"), "scores", F.lit("\n``` done"))).otherwise(F.col("scores"))
+    return rows.select("rec_id", T.unfenced(fenced).alias("body"))
+
+
+@query("SELECT train_id, 'v' || printf('%09d', train_id) || '_kf' || printf('%02d', train_id % 300) AS name FROM balanced_train")
+def o_txt_12(t: Tables) -> DataFrame:
+    return t.balanced_train.select("train_id", F.concat(F.lit("v"), T.zero_padded("train_id", 9), F.lit("_kf"), T.zero_padded(F.col("train_id") % 300, 2)).alias("name"))
+
+
+@query("SELECT rec_id, CASE WHEN starts_with(ltrim(overall), '[') THEN json_extract_string(overall, '$[0]') ELSE overall END AS value FROM gt_scores_c WHERE overall IS NOT NULL AND json_valid(overall)")
+def o_arr_8(t: Tables) -> DataFrame:
+    """The first element where a field holds a list, else the scalar."""
+    return t.gt_scores_c.where("overall is not null and try_parse_json(overall) is not null").select("rec_id", T.first_or_scalar("overall").alias("value"))
+
+
+_BANKS, _GEN = (R.CONTEXT_BANKS, R.NAVIGATION_BANKS), "generated"
+_MEANS = [f"({' + '.join(f'({_any(_GEN, bank)})::int' for bank in banks.values())}) / {float(len(banks))}" for banks in _BANKS]
+
+
+@query(f"SELECT condition, round(avg({_MEANS[0]}), 6) AS blv_mean, round(avg({_MEANS[1]}), 6) AS nav_mean FROM sft_patch_v2_outputs GROUP BY condition")
+def o_kw_3(t: Tables) -> DataFrame:
+    """The means of the presence scores of each text, averaged by condition."""
+    blv, nav = (R.presence("generated", banks)["mean"] for banks in _BANKS)
+    return t.sft_patch_v2_outputs.groupBy("condition").agg(F.round(F.avg(blv), 6).alias("blv_mean"), F.round(F.avg(nav), 6).alias("nav_mean"))
+
+
+@query("SELECT event_id, CASE WHEN value >= 90 THEN 'high' WHEN value >= 50 THEN 'mid' ELSE 'low' END AS band, CASE WHEN value / 10 < 1 THEN 'overfit' WHEN value / 10 BETWEEN 2 AND 4 THEN 'go' WHEN value / 10 > 4 AND value / 10 <= 8 THEN 'weak' WHEN value / 10 > 8 THEN 'stop' END AS verdict FROM events")
+def o_kw_14_15(t: Tables) -> DataFrame:
+    return t.events.select("event_id", R.band("value").alias("band"), R.loss_verdict(F.col("value") / 10).alias("verdict"))
+
+
+@query(
+    "SELECT lower(dataset) AS dataset, count(*) AS n, "
+    + ", ".join(f"count(*) FILTER (coalesce(regexp_matches(blv_description, '(?i)(?:{'|'.join(p)})'), false)) AS n_{name}, round(100 * avg(coalesce(regexp_matches(blv_description, '(?i)(?:{'|'.join(p)})'), false)::int), 1) AS pct_{name}" for name, p in R.COVERAGE.items())
+    + " FROM all_captions GROUP BY 1"
+)
+def o_agg_11(t: Tables) -> DataFrame:
+    """Coverage by metric: raw counts and percentages."""
+    hits = R.coverage("blv_description")
+    return t.all_captions.groupBy(F.lower("dataset").alias("dataset")).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(h).alias(f"n_{k}") for k, h in hits.items()], *[F.round(100 * F.avg(h.cast("int")), 1).alias(f"pct_{k}") for k, h in hits.items()])
+
+
+@query(f"""WITH s AS (SELECT caption_id, {_score_1('blv_description')} AS score, list_filter([CASE WHEN {_words('blv_description')} < 15 THEN '{R.TOO_SHORT}' WHEN {_words('blv_description')} > 300 THEN '{R.TOO_LONG}' END] || [CASE WHEN {_score_1('blv_description')} < 40 THEN 'Low BLV score: ' || {_score_1('blv_description')} END] || [CASE WHEN len({_HITS}) > 0 THEN 'Hallucination phrases: ' || array_to_string({_HITS}, ', ') END] || {_RULES}, lambda x: x IS NOT NULL) AS flags FROM all_captions WHERE blv_description IS NOT NULL)
+SELECT caption_id, score AS blv_score, array_to_string(flags, '|') AS flags, len(flags) = 0 AS is_clean FROM s""")
+def o_flg_1_sql(t: Tables) -> DataFrame:
+    """The checks of o_flg_1 that SQL can express, without that of repeated sentences; the helper column is dropped."""
+    rows = t.all_captions.where("blv_description is not null").withColumn("blv_score", R.curation_score_1("blv_description"))
+    out = rows.withColumn("_f", R.flags("blv_description", "blv_score"))
+    return out.select("caption_id", "blv_score", F.array_join("_f", "|").alias("flags"), (F.size("_f") == 0).alias("is_clean"))

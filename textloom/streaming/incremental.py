@@ -43,14 +43,30 @@ def resumable_stream(source: DataFrame, sink: str, checkpoint: str, key: str, pr
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def memoised(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at the path, made and written only if it isn't there."""
+    if not table_exists(spark, path):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def in_blocks(todo: DataFrame, sink: str, key: str, process: Callable[[DataFrame], DataFrame], pos: str, rows: int, every: int) -> DataFrame:
+    """resume() by blocks of `every` positions of `rows` in all: after each block what is done stands in the sink."""
+    for upto in range(every, rows + every, every):
+        resume(todo, sink, key, process, upto, pos)
+    return todo.sparkSession.read.parquet(sink)
+
+
 def tumbling(events: DataFrame, ts: str, width: str, *group: str, value: str, late: str | None = None) -> DataFrame:
     """Count and sum per window and group; with `late`, rows later than that behind the stream are dropped."""
     rows = events.withWatermark(ts, late) if late else events
     return rows.groupBy(F.window(ts, width).alias("w"), *group).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("window_start"), *group, "n", "total")
 
 
-def sliding(events: DataFrame, ts: str, width: str, slide: str, *group: str) -> DataFrame:
-    return events.groupBy(F.window(ts, width, slide).alias("w"), *group).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), *group, "n")
+def sliding(events: DataFrame, ts: str, width: str, slide: str, *group: str, late: str | None = None) -> DataFrame:
+    """Count per overlapping window and group; with `late`, rows later than that behind the stream are dropped."""
+    rows = events.withWatermark(ts, late) if late else events
+    return rows.groupBy(F.window(ts, width, slide).alias("w"), *group).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), *group, "n")
 
 
 def sessions(events: DataFrame, ts: str, gap: str, *group: str) -> DataFrame:
