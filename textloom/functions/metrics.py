@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import hashlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from textloom.functions.text import col, normalized_answer, py_strip
 
@@ -101,22 +103,53 @@ def rouge_l(reference: Column | str, hypothesis: Column | str, beta: float = 1.0
 _MATCHES = [f"{c}{n}" for c in ("correct", "guess", "reference") for n in range(1, 5)]
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
+    return x ^ (x >> np.uint64(28))
+
+
+class _Tokens(dict):
+    """A 64-bit hash for each token."""
+
+    def __missing__(self, token: str) -> int:
+        value = self[token] = int.from_bytes(hashlib.blake2b(token.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+        return value
+
+
+def gram_counts(ours: Iterable[str | None], theirs: Iterable[str | None], orders: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each n: (n, row, gram, uses in ours, uses in theirs) of the distinct n-grams of each row's two texts, split at
+    white space; n-grams are 64-bit hashes. Null texts have none."""
+    number, sides = _Tokens(), []
+    for texts in (ours, theirs):
+        tokens = [(t or "").split() for t in texts]
+        flat = np.fromiter((number[w] for t in tokens for w in t), np.uint64)
+        sides.append((flat, np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])))
+    for n in orders:
+        made = []
+        for flat, row in sides:
+            size = max(0, len(flat) - n + 1)
+            gram = _mixed(flat[:size] + np.uint64(n))
+            for step in range(1, n):
+                gram = _mixed(gram * np.uint64(0x9E3779B97F4A7C15) + flat[step : step + size])
+            whole = row[:size] == row[n - 1 : n - 1 + size]
+            made.append((row[:size][whole], gram[whole]))
+        row, gram = (np.concatenate([made[0][i], made[1][i]]) for i in (0, 1))
+        own = np.repeat([1, 0], [len(made[0][0]), len(made[1][0])])
+        order = np.lexsort((gram, row))
+        row, gram, own = row[order], gram[order], own[order]
+        start = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])])) if len(row) else np.zeros(0, np.int64)
+        first = np.add.reduceat(own, start) if len(start) else own
+        yield n, row[start], gram[start], first, np.diff(np.append(start, len(row))) - first
+
+
 @F.pandas_udf(StructType([StructField(c, LongType()) for c in _MATCHES]))
 def _matches(hypothesis: pd.Series, reference: pd.Series) -> pd.DataFrame:
     """Per row and n: clipped matches and the n-grams of both sides; nulls have none."""
-
-    def one(h: str | None, r: str | None) -> list[int]:
-        a, b = (h or "").split(), (r or "").split()
-        correct, guess, wanted = [], [], []
-        for n in range(1, 5):
-            x, y = (list(zip(*(t[i:] for i in range(n)))) for t in (a, b))  # noqa: B905 the shortest ends the n-grams
-            ours, theirs = Counter(x), Counter(y)
-            correct.append(sum(min(c, theirs[g]) for g, c in ours.items() if g in theirs))
-            guess.append(len(x))
-            wanted.append(len(y))
-        return correct + guess + wanted
-
-    return pd.DataFrame([one(h, r) for h, r in zip(hypothesis, reference, strict=True)], columns=_MATCHES, dtype="int64")
+    out, size = {}, len(hypothesis)
+    for n, row, _, ours, theirs in gram_counts(hypothesis, reference, (1, 2, 3, 4)):
+        for name, counts in (("correct", np.minimum(ours, theirs)), ("guess", ours), ("reference", theirs)):
+            out[f"{name}{n}"] = np.bincount(row, counts, size).astype(np.int64)
+    return pd.DataFrame(out)[_MATCHES]
 
 
 def tokenized_13a(c: Column | str) -> Column:
@@ -160,39 +193,16 @@ def bleu(stats: DataFrame, group: tuple[str, ...] = (), smooth: str = "none") ->
     return wide.select(*group, (100 * F.coalesce(brevity, F.lit(0.0)) * precision[0]).alias("bleu1"), (100 * F.coalesce(brevity, F.lit(0.0)) * F.pow(product, F.lit(0.25))).alias("bleu4"))
 
 
-@F.pandas_udf(ArrayType(StructType([StructField("n", IntegerType()), StructField("gram", LongType()), StructField("ours", IntegerType()), StructField("theirs", IntegerType())])))
-def _gram_counts(hypothesis: pd.Series, reference: pd.Series, orders: pd.Series) -> pd.Series:
-    """The distinct n-grams of a row as 64-bit hashes, with their uses on both sides; orders has the values of n as digits."""
-    mask = (1 << 64) - 1
-
-    def code(gram: tuple) -> int:
-        h = 1469598103934665603
-        for w in gram:
-            h = ((h ^ numbers[w]) * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & mask
-            h ^= h >> 29
-        return h - (1 << 64) if h >> 63 else h
-
-    class Numbers(dict):
-        def __missing__(self, w: str) -> int:
-            import hashlib
-
-            value = self[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=8).digest(), "little")
-            return value
-
-    numbers = Numbers()
-    out = []
-    for h, r, o in zip(hypothesis, reference, orders, strict=True):
-        a, b, row = (h or "").split(), (r or "").split(), []
-        for n in map(int, o):
-            ours, theirs = (Counter(zip(*(t[i:] for i in range(n)))) for t in (a, b))  # noqa: B905
-            row += [(n, code(g), ours[g], theirs[g]) for g in ours.keys() | theirs.keys()]
-        out.append(row)
-    return pd.Series(out)
+def _gram_rows(pairs: DataFrame, key: str, hypothesis: str, reference: str, orders: tuple[int, ...]) -> DataFrame:
+    """(_k, n, gram, ours, theirs) of gram_counts."""
+    kind = dict(pairs.dtypes)[key]
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, row, gram, ours, theirs in gram_counts(batch.column(1).to_pylist(), batch.column(2).to_pylist(), orders):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(np.full(len(row), n, np.int32)), pa.array(gram.view(np.int64)), pa.array(ours.astype(np.int32)), pa.array(theirs.astype(np.int32))], ["_k", "n", "gram", "ours", "theirs"])
 
-def _gram_rows(pairs: DataFrame, key: str, hypothesis: str, reference: str, orders: str) -> DataFrame:
-    counts = pairs.select(F.col(key).alias("_k"), _gram_counts(F.lower(hypothesis), F.lower(reference), F.lit(orders)).alias("g"))
-    return counts.select("_k", F.explode("g").alias("g")).select("_k", "g.*")
+    return pairs.select(F.col(key).alias("_k"), F.lower(hypothesis), F.lower(reference)).mapInArrow(count, f"_k {kind}, n int, gram long, ours int, theirs int")
 
 
 def tfidf_cosine(pairs: DataFrame, key: str, hypothesis: str, reference: str, n: int = 4) -> DataFrame:
@@ -200,7 +210,7 @@ def tfidf_cosine(pairs: DataFrame, key: str, hypothesis: str, reference: str, n:
 
     N-grams are counted within their row and compared by 64-bit hashes; keys are unique.
     """
-    counted = _gram_rows(pairs, key, hypothesis, reference, str(n))
+    counted = _gram_rows(pairs, key, hypothesis, reference, (n,))
     df = counted.where("theirs > 0").groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     total = pairs.agg(F.count(F.lit(1)).alias("docs"))
     weighed = counted.join(df, "gram", "left").crossJoin(F.broadcast(total)).withColumn("idf", F.ln((F.col("docs") + 1) / (F.coalesce("df", F.lit(0)) + 1)))
@@ -213,7 +223,7 @@ def tfidf_cosine(pairs: DataFrame, key: str, hypothesis: str, reference: str, n:
 def cider(pairs: DataFrame, key: str, hypothesis: str, reference: str, sigma: float = 6.0) -> DataFrame:
     """(key, cider): consensus score of n-grams of one to four tokens: clipped TF-IDF products over both norms, damped by the
     difference in length (in bigrams), ten times the mean over n. idf = ln(N) - ln(max(1, df)) over references."""
-    counted = _gram_rows(pairs, key, hypothesis, reference, "1234")
+    counted = _gram_rows(pairs, key, hypothesis, reference, (1, 2, 3, 4))
     df = counted.where("theirs > 0").groupBy("n", "gram").agg(F.count(F.lit(1)).alias("df"))
     total = pairs.agg(F.count(F.lit(1)).alias("docs"))
     weighed = counted.join(df, ["n", "gram"], "left").crossJoin(F.broadcast(total)).withColumn("idf", F.ln("docs") - F.ln(F.coalesce(F.greatest("df", F.lit(1)), F.lit(1))))
