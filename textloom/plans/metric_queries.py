@@ -11,7 +11,7 @@ from textloom.operators import judge as J
 from textloom.operators import report as R
 from textloom.operators import windows as W
 from textloom.plans.registry import Tables, query
-from textloom.session import step_path
+from textloom.session import spread, step_path
 from textloom.streaming import incremental as I
 
 _TOK = "list_filter(regexp_split_to_array({}, '[\\t\\n\\x0B\\f\\r \\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+'), lambda x: x <> '')"
@@ -22,7 +22,7 @@ def _grams(col: str, n: int) -> str:
 
 
 def _outputs(t: Tables) -> DataFrame:
-    return t.sft_patch_v2_outputs.where("reference <> '' and generated <> '' and not startswith(generated, '[')")
+    return spread(t.sft_patch_v2_outputs.select("output_id", "condition", "video_id", "reference", "generated").where("reference <> '' and generated <> '' and not startswith(generated, '[')"))
 
 
 _OUTPUTS = "SELECT * FROM sft_patch_v2_outputs WHERE reference <> '' AND generated <> '' AND NOT starts_with(generated, '[')"

@@ -10,6 +10,7 @@ from textloom.functions import text as T
 from textloom.functions.metrics import repeats_itself
 from textloom.operators.report import at_least, most_common
 from textloom.plans.registry import Tables, query
+from textloom.session import spread
 
 _WS = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
@@ -159,7 +160,7 @@ def o_kw_9_10(t: Tables) -> DataFrame:
 
 
 def flagged(t: Tables) -> DataFrame:
-    scored = t.all_captions.where("blv_description is not null").withColumn("blv_score", R.curation_score_1("blv_description"))
+    scored = spread(t.all_captions.where("blv_description is not null").select("caption_id", "blv_description")).withColumn("blv_score", R.curation_score_1("blv_description"))
     return scored.withColumn("flags", R.flags("blv_description", "blv_score", repeated=repeats_itself(T.sentences("blv_description", 10))))
 
 
@@ -170,7 +171,7 @@ def o_flg_1(t: Tables) -> DataFrame:
 
 @query()
 def o_kw_11(t: Tables) -> DataFrame:
-    return t.all_captions.where("blv_description is not null").select("caption_id", repeats_itself(T.sentences("blv_description", 10)).alias("repeats"))
+    return spread(t.all_captions.where("blv_description is not null").select("caption_id", "blv_description")).select("caption_id", repeats_itself(T.sentences("blv_description", 10)).alias("repeats"))
 
 
 @query()
