@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import shingles
 from textloom.llm.cuts import cut_texts, is_empty
+from textloom.session import spread
 
 COPIED = 0.75
 #: Words that a copy may add before the first copied word and elsewhere.
@@ -175,7 +176,7 @@ def defective_pairs(pairs: DataFrame, corpus: DataFrame, ident: str, reference:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["id", "defect"])
 
     rows = pairs.select(F.col(ident).cast("string").alias("id"), F.col(reference).alias("reference"), F.col(answer).alias("answer"))
-    shown = rows.mapInArrow(judge, "id string, defect string").where("defect is not null")
+    shown = spread(rows).mapInArrow(judge, "id string, defect string").where("defect is not null")
     cuts = cut_texts(pairs.select(F.col(ident).cast("string").alias("id"), F.col(source).alias("source"), F.col(answer).alias("text")), corpus)
     both = shown.unionByName(cuts.where("cut").select("id", F.lit("truncated").alias("defect")))
     rank = F.array_position(F.array(*map(F.lit, ("empty", "refusal", "wrong_language", "copy", "truncated"))), F.col("defect"))

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import shingles
+from textloom.session import spread
 
 PASSAGE = 10
 RUN = 4
@@ -260,7 +261,7 @@ def leaked_items(corpus: DataFrame, items: DataFrame, doc_id: str = "doc_id", it
     and nothing leaks from them; rows repeated under one id count once; an empty side gives no rows.
     """
     schema = f"{item_id} long, {doc_id} long, matched_words int, longest_match int"
-    docs = corpus.select(F.col(doc_id).cast("long"), F.col(text)).where(F.col(doc_id).isNotNull() & (F.length(text) > 0))
+    docs = spread(corpus.select(F.col(doc_id).cast("long"), F.col(text)).where(F.col(doc_id).isNotNull() & (F.length(text) > 0)))
     ready = items.select(F.col(item_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and length(text) > 0")
     blocks = -(-ready.count() // ITEM_BLOCK)
     found = None

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import shingles
 from textloom.operators.graph import connected_components, pairs_within
-from textloom.session import cut_lineage
+from textloom.session import cut_lineage, spread
 
 SKETCH_BITS = 20
 CHUNKS = 16
@@ -447,7 +447,7 @@ def near_duplicate_groups(df: DataFrame, ident: str, text: str, most_groups: int
     (of different texts under one id each is looked at). Nothing alike, or no rows: no rows.
     """
     spark = df.sparkSession
-    docs = df.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
+    docs = spread(df.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null"))
     read = cut_lineage(signatures(docs))
     sketch = spark.sparkContext.broadcast(frequency_sketch(read.where("chunk is not null").select("chunk", "counts")))
     signed = read.where("id is not null").select("id", "class", "size")

@@ -1,14 +1,16 @@
 """Problem 8: personal details in free text, by a skip-chain conditional random field.
 
-Nodes are the tokens that may be part of a name, and numbers; their labels are other, person, phone and id_number. A
-linear chain ties neighbouring name tokens; skip edges tie each repeat of a token or number in a document to the one
-before it (whatever case, accents and separators it has), so that a plain mention of a name follows the one whose context
-gives it away. Loopy belief propagation gives each node's marginals.
-
-The weights of the name features and of the edges are fitted on a bounded sample of documents (SAMPLE_DOCS, by hash of the
-id) whose labels come from the list of name parts; each token is learned twice, once with the list's features hidden, so
-that names missing from the list are told by their context in any language. Numbers have fixed potentials for shapes and
-label words. E-mail and postal addresses are told by their forms; their characters are no nodes. Which words are common
+Nodes are the tokens that may be part of a name, numbers, and what has the form of an e-mail or postal address; their
+labels are other, person, phone, id_number, email and address. A linear chain ties neighbouring name tokens; skip edges
+tie each similar token, number or form in a document to the one before it (whatever case, accents, possessive endings and
+separators it has), so that a plain mention of a name follows the one whose context gives it away. Loopy belief
+propagation gives each node's marginals.
+
+The weights of the name features, of chain edges and of skip edges are fitted by likelihood (the chains' exactly, skip edges
+given these) on a bounded sample of documents (SAMPLE_DOCS, by hash of the id, texts of up to SAMPLE_CHARS characters)
+whose labels come from the list of name parts; each token is learned twice, once with the list's features hidden, so that names missing from the list
+are told by their context in any language. Numbers and forms, of which there are no labelled examples, have fixed
+potentials for shapes and label words. Which words are common
 ones and which street words carry a dot is counted over all documents. Everything is then applied to whole texts of all
 documents.
 """
@@ -21,19 +23,22 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.session import cut_lineage
+from textloom.session import cut_lineage, spread
 
 #: Documents on which weights are fitted, and rounds of fitting and of message passing.
-SAMPLE_DOCS = 12_000
+SAMPLE_DOCS, SAMPLE_CHARS = 12_000, 20_000
 EPOCHS, ROUNDS = 6, 8
 FEATURE_BITS = 15
-LABELS = ("other", "person", "phone", "id_number")
+LABELS = ("other", "person", "phone", "id_number", "email", "address")
+#: Potential of what has the form of an e-mail or postal address.
+FORM = 6.0
 
 # Titles, which are no part of a name.
 TITLES = {"mr", "mrs", "ms", "miss", "mx", "dr", "prof", "sir", "dame", "sr", "sra", "srta", "don", "doña", "dra", "mme", "mlle", "herr", "frau", "dom", "dona", "senhor", "senhora", "señor", "señora", "monsieur", "madame", "श्री", "श्रीमती"}
@@ -100,7 +105,10 @@ _GAP = re.compile(r"[ \u00a0]{1,2}|, ?")
 _SENTENCE_START = re.compile(r"(?:^|[.!?।:;\n>\-–—\"“”(\[•*]\s*)$")
 
 
+@lru_cache(maxsize=200_000)
 def _fold(word: str) -> str:
+    if word.isascii():
+        return word.lower()
     return "".join(c for c in unicodedata.normalize("NFD", word.casefold()) if not unicodedata.combining(c))
 
 
@@ -115,17 +123,41 @@ _LOWER, _CAPITAL = re.compile(r"(?<![^\W\d_])[^\W\d_A-ZÀ-Þ]{2,}(?![^\W\d_])"),
 _STREET_DOT = re.compile(rf"\d\S* (?:{_CAP} ){{1,3}}({_EN_STREET})(\.?)(?:,| [a-z])")
 
 
+#: Without one of these a text holds no e-mail address: a sign, a dot before a letter or in brackets, a dot spelled out.
+_MAY_MAIL = re.compile(r"@|\w\.[A-Za-z]|[(\[{<]\s*\.|dot|punto|point|punkt|ponto", re.I)
+#: Six digits near each other, without which a text holds no personal number.
+_MAY_NUMBER = re.compile(r"\d(?:[^\d\n]{0,3}\d){5,}")
+#: Characters before and after such digits that may belong to a number.
+_BEFORE, _AFTER_DIGITS = 24, 24
+_DIGIT = re.compile(r"\d")
+
+
 class Names:
     """The list of name parts, and the words that the documents write in lower case."""
 
     def __init__(self, given: set[str], family: set[str], common: set[str]) -> None:
         self.given, self.family, self.common = given, family, common
+        self.seen: dict[str, bool] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"seen": {}}
+
+    def may_be_part(self, token: str) -> bool:
+        """Whether a token may be part of a name; kept for each token, begun anew when there are many."""
+        may = self.seen.get(token)
+        if may is None:
+            if len(self.seen) > 500_000:
+                self.seen.clear()
+            fold = _fold(token)
+            listed = fold in self.given or fold in self.family or (len(fold) > 2 and token.isalpha() and token.islower() and fold not in self.common)
+            may = self.seen[token] = not (fold.rstrip(".") in TITLES or len(token) == 1 or not (token[0].isupper() or listed) or (token.endswith(".") and not token[0].isupper()))
+        return may
 
 
 def _masked(text: str, dotted: set[str]) -> tuple[list[tuple[str, str, int, int]], str]:
     """The e-mail and postal addresses of a text, and the text with these blanked."""
     found, chars = [], None
-    for match in EMAIL.finditer(text):
+    for match in EMAIL.finditer(text) if _MAY_MAIL.search(text) else ():
         found.append(("email", match[0], match.start(), match.end()))
     bare = text
     if found:
@@ -134,7 +166,7 @@ def _masked(text: str, dotted: set[str]) -> tuple[list[tuple[str, str, int, int]
             chars[a:b] = "\x00" * (b - a)
         bare = "".join(chars)
     spots = []
-    for match in ADDRESS.finditer(bare):
+    for match in ADDRESS.finditer(bare) if _DIGIT.search(bare) else ():
         a, b = match.span()
         if match["en"]:
             b = match.end("en")
@@ -154,12 +186,16 @@ def _masked(text: str, dotted: set[str]) -> tuple[list[tuple[str, str, int, int]
 
 def _numbers(bare: str) -> list[tuple[int, int, list[float]]]:
     """(begin, end, potentials) of the numbers that may be personal, the longest of those that overlap."""
-    if not any(c.isdigit() for c in bare):
-        return []
+    places: list[list[int]] = []
+    for near in _MAY_NUMBER.finditer(bare):
+        if places and near.start() - _BEFORE <= places[-1][1]:
+            places[-1][1] = near.end() + _AFTER_DIGITS
+        else:
+            places.append([max(0, near.start() - _BEFORE), near.end() + _AFTER_DIGITS])
     spots: dict[tuple[int, int], list[float]] = {}
     for place, shapes in ((2, PHONE_SHAPES), (3, ID_SHAPES)):
         for shape, weight in shapes:
-            for match in shape.finditer(bare):
+            for match in (m for lo, hi in places for m in shape.finditer(bare, lo, hi)):
                 digits = sum(map(str.isdigit, match[0]))
                 if 6 <= digits <= 16 and (place == 3 or 7 <= digits <= 15):
                     scores = spots.setdefault(match.span(), [0.0, -math.inf, -math.inf, -math.inf])
@@ -196,10 +232,9 @@ def _chains(bare: str, names: Names) -> list[list[tuple[int, int, str]]]:
 
     for match in _TOKEN.finditer(bare):
         token = match[0]
-        fold = _fold(token)
-        listed = fold in names.given or fold in names.family or (len(fold) > 2 and token.isalpha() and token.islower() and fold not in names.common)
-        if fold.rstrip(".") in TITLES or len(token) == 1 or not (token[0].isupper() or listed) or (token.endswith(".") and not token[0].isupper()):
-            close()
+        if not names.may_be_part(token):
+            if run:
+                close()
             continue
         if run and not _GAP.fullmatch(bare[run[-1][1] : match.start()]):
             close()
@@ -294,21 +329,23 @@ def word_counts(docs: DataFrame) -> tuple[set[str], set[str]]:
     """Of all docs(id, text): the common words, folded, and the street words that carry a dot more often than not."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen = {kind: Counter() for kind in ("lower", "capital", "dot", "plain")}
 
         def out() -> Iterator[pa.RecordBatch]:
-            rows = [(kind, word, _fold(word) if kind == "lower" else word, n) for (kind, word), n in seen.items()]
-            seen.clear()
+            rows = [(kind, word, _fold(word) if kind == "lower" else word, n) for kind, own in seen.items() for word, n in own.items()]
+            for own in seen.values():
+                own.clear()
             for lo in range(0, len(rows), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[lo : lo + 50_000], strict=True)], ["kind", "word", "fold", "n"])
 
         for batch in batches:
             for text in batch.column(1).to_pylist():
                 _, bare = _masked(text, set())
-                seen.update(("lower", w) for w in _LOWER.findall(bare))
-                seen.update(("capital", _fold(w)) for w in _CAPITAL.findall(bare))
-                seen.update(("dot" if m[2] else "plain", m[1].casefold()) for m in _STREET_DOT.finditer(text))
-                if len(seen) > 500_000:
+                seen["lower"].update(_LOWER.findall(bare))
+                seen["capital"].update(map(_fold, _CAPITAL.findall(bare)))
+                for m in _STREET_DOT.finditer(text) if _DIGIT.search(text) else ():
+                    seen["dot" if m[2] else "plain"][m[1].casefold()] += 1
+                if sum(map(len, seen.values())) > 500_000:
                     yield from out()
         yield from out()
 
@@ -321,37 +358,76 @@ def word_counts(docs: DataFrame) -> tuple[set[str], set[str]]:
     return {r["fold"] for r in common.toLocalIterator()}, {w for w, _ in marks if marks.get((w, "dot"), 0) > marks.get((w, "plain"), 0)}
 
 
+def _tie(token: str) -> str:
+    """What similar tokens share: whatever case, accents and possessive ending they have."""
+    return re.sub(r"['’]s$|['’]$", "", _fold(token))
+
+
+def _forward_backward(score: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of chains of one length with score[chain, place] for a name against none, and near[label, label] for neighbours: the
+    chance of a name at each place, and that of each pair of labels of neighbours (place, label, label)."""
+    n, length = score.shape
+    own = np.stack([np.zeros_like(score), score], axis=2)
+    ahead, behind = np.zeros((n, length, 2)), np.zeros((n, length, 2))
+    ahead[:, 0] = own[:, 0]
+    for i in range(1, length):
+        ahead[:, i] = np.logaddexp(ahead[:, i - 1, :1] + near[0], ahead[:, i - 1, 1:] + near[1]) + own[:, i]
+    for i in range(length - 2, -1, -1):
+        after = own[:, i + 1] + behind[:, i + 1]
+        behind[:, i] = np.logaddexp(after[:, :1] + near[:, 0], after[:, 1:] + near[:, 1])
+    whole = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])[:, None]
+    one = np.exp(ahead[:, :, 1] + behind[:, :, 1] - whole)
+    pairs = np.exp(ahead[:, :-1, :, None] + near + (own + behind)[:, 1:, None, :] - whole[:, :, None, None])
+    return one, pairs
+
+
 def fit(texts: list[str], names: Names, dotted: set[str]) -> Model:
-    rows, labels, joint = [], [], np.ones((2, 2))
+    """Weights of the features of name tokens and of chain edges, fitted together by the likelihood of the chains' labels by
+    the list; then that of skip edges, by the likelihood of each label given its chain and those it is tied to."""
+    by_length: dict[int, list[tuple[list[list[int]], list[bool], list[int]]]] = {}
     for text in texts:
         _, bare = _masked(text, set())
-        for chain in _chains(bare, names):
-            y = _distant(chain, names)
-            for a, b in zip(y[:-1], y[1:], strict=True):
-                joint[int(a), int(b)] += 1
+        chains = _chains(bare, names)
+        own = [_distant(chain, names) for chain in chains]
+        before: dict[str, bool] = {}
+        for chain, y in zip(chains, own, strict=True):
+            tied = [0 if len(t) < 3 or _tie(t) not in before else 1 if before[_tie(t)] else -1 for _, _, t in chain]
+            before.update((_tie(t), label) for (_, _, t), label in zip(chain, y, strict=True))
             for hide in (False, True):
-                rows += _token_features(bare, chain, names, hide)
-                labels += y
-    weights = np.zeros(1 << FEATURE_BITS)
-    if rows:
-        y = np.array(labels, float)
-        width = max(map(len, rows))
-        index = np.array([r + [-1] * (width - len(r)) for r in rows])
-        used = index >= 0
-        index = np.where(used, index, 0)
-        order, squares = np.random.default_rng(0), np.full(len(weights), 1e-6)
-        for _ in range(EPOCHS):
-            for lo in np.array_split(order.permutation(len(y)), max(1, len(y) // 256)):
-                score = (weights[index[lo]] * used[lo]).sum(axis=1)
-                slope = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - y[lo])[:, None] * used[lo]
-                grad = np.zeros_like(weights)
-                np.add.at(grad, index[lo], slope)
-                grad = grad / len(lo) + 1e-5 * weights
-                squares += grad**2
-                weights -= 0.3 * grad / np.sqrt(squares)
-    share = joint / joint.sum()
-    near = np.log(share / (share.sum(axis=1, keepdims=True) * share.sum(axis=0, keepdims=True)))
-    return Model(weights, np.clip(near, -2, 2), 1.5, dotted)
+                by_length.setdefault(len(chain), []).append((_token_features(bare, chain, names, hide), y, tied))
+    weights, near, again = np.zeros(1 << FEATURE_BITS), np.zeros((2, 2)), 0.0
+    groups = []
+    for rows in by_length.values():
+        width = max(len(f) for features, _, _ in rows for f in features)
+        index = np.array([[f + [-1] * (width - len(f)) for f in features] for features, _, _ in rows])
+        groups.append((np.where(index >= 0, index, 0), index >= 0, np.array([y for _, y, _ in rows], float), np.array([tied for _, _, tied in rows], float)))
+    order, squares, near_squares = np.random.default_rng(0), np.full(len(weights), 1e-6), np.full((2, 2), 1e-6)
+    batches = [(g, part) for g, (_, _, y, _) in enumerate(groups) for part in np.array_split(np.arange(len(y)), max(1, y.size // 256))]
+    mixed = [order.permutation(len(y)) for _, _, y, _ in groups]
+    for _ in range(EPOCHS):
+        for k in order.permutation(len(batches)):
+            g, part = batches[k]
+            index, used, y = (x[mixed[g][part]] for x in groups[g][:3])
+            one, pairs = _forward_backward((weights[index] * used).sum(axis=2), near)
+            off = one - y
+            spots, back = np.unique(index[used], return_inverse=True)
+            grad = np.bincount(back, np.broadcast_to(off[:, :, None], used.shape)[used]) / y.size + 1e-5 * weights[spots]
+            squares[spots] += grad**2
+            weights[spots] -= 0.3 * grad / np.sqrt(squares[spots])
+            label = y.astype(int)
+            seen = np.array([[np.sum((label[:, :-1] == i) & (label[:, 1:] == j)) for j in (0, 1)] for i in (0, 1)])
+            grad = (pairs.sum(axis=(0, 1)) - seen) / y.size + 1e-5 * near
+            near_squares += grad**2
+            near = np.clip(near - 0.1 * grad / np.sqrt(near_squares), -3, 3)
+    odds, ties, labels = [], [], []
+    for index, used, y, tied in groups:
+        one = np.clip(_forward_backward((weights[index] * used).sum(axis=2), near)[0], 1e-9, 1 - 1e-9)
+        odds.append(np.log(one / (1 - one))[tied != 0]), ties.append(tied[tied != 0]), labels.append(y[tied != 0])
+    if groups and sum(map(len, odds)):
+        m, t, y = (np.concatenate(x) for x in (odds, ties, labels))
+        for _ in range(100):
+            again = min(2.0, max(0.0, again - 0.2 * float(np.mean((1 / (1 + np.exp(-np.clip(m + again * t, -30, 30))) - y) * t)) * 10))
+    return Model(weights, near, again, dotted)
 
 
 def _marginals(unary: list[list[float]], edges: list[tuple[int, int, str]], model: Model) -> np.ndarray:
@@ -359,15 +435,16 @@ def _marginals(unary: list[list[float]], edges: list[tuple[int, int, str]], mode
     score = np.array(unary)
     score = np.where(np.isfinite(score), score, -50.0)
     if edges:
-        near = np.zeros((4, 4))
+        size = len(LABELS)
+        near = np.zeros((size, size))
         near[:2, :2] = model.near
-        again = model.again * np.eye(4)
+        again = model.again * np.eye(size)
         a, b = np.array([e[0] for e in edges]), np.array([e[1] for e in edges])
         table = np.array([near if e[2] == "near" else again for e in edges])
         source, target = np.concatenate([a, b]), np.concatenate([b, a])
         table = np.concatenate([table, table.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
-        message = np.zeros((len(source), 4))
+        message = np.zeros((len(source), size))
         for _ in range(ROUNDS):
             belief = score.copy()
             np.add.at(belief, target, message)
@@ -419,11 +496,14 @@ def _persons(bare: str, chain: list[tuple[int, int, str]], is_name: list[bool],
 
 def find(text: str, model: Model, names: Names) -> list[tuple[str, str, int, int]]:
     """(kind, value, begin, end) of the personal details of a text, in order."""
-    found, bare = _masked(text, model.dotted)
+    formed, bare = _masked(text, model.dotted)
     chains, numbers = _chains(bare, names), _numbers(bare)
+    if not formed and not chains and not numbers:
+        return []
     unary: list[list[float]] = []
     edges: list[tuple[int, int, str]] = []
     seen: dict[str, int] = {}
+    none = -50.0
 
     def node(scores: list[float], key: str) -> None:
         if key in seen:
@@ -437,19 +517,18 @@ def find(text: str, model: Model, names: Names) -> list[tuple[str, str, int, int
                 edges.append((len(unary) - 1, len(unary), "near"))
             fold = _fold(token)
             common = COMMON_WORD if fold in names.common and fold not in names.given and fold not in names.family else 0.0
-            node([0.0, float(model.weights[features].sum()) + common, -50.0, -50.0], fold if len(token) > 2 else f"{len(unary)}.")
+            node([0.0, float(model.weights[features].sum()) + common, none, none, none, none], _tie(token) if len(token) > 2 else f"{len(unary)}.")
     for a, b, scores in numbers:
-        node([0.0, -50.0, *scores[2:]], "#" + re.sub(r"\W", "", bare[a:b]))
-    if unary:
-        label = _marginals(unary, edges, model).argmax(axis=1)
-        at = 0
-        for chain in chains:
-            for a, b in _persons(bare, chain, [bool(x == 1) for x in label[at : at + len(chain)]], names):
-                found.append(("person", text[a:b], a, b))
-            at += len(chain)
-        for (a, b, _), which in zip(numbers, label[at:], strict=True):
-            if which > 1:
-                found.append((LABELS[which], text[a:b], a, b))
+        node([0.0, none, *scores[2:], none, none], "#" + re.sub(r"\W", "", bare[a:b]))
+    for kind, value, _, _ in formed:
+        node([0.0, none, none, none, *(FORM if kind == label else none for label in LABELS[4:])], kind + _fold(value))
+    label, at, found = _marginals(unary, edges, model).argmax(axis=1), 0, []
+    for chain in chains:
+        for a, b in _persons(bare, chain, [bool(x == 1) for x in label[at : at + len(chain)]], names):
+            found.append(("person", text[a:b], a, b))
+        at += len(chain)
+    spots = [(a, b) for a, b, _ in numbers] + [(a, b) for _, _, a, b in formed]
+    found += [(LABELS[which], text[a:b], a, b) for (a, b), which in zip(spots, label[at:], strict=True) if which > 1]
     return sorted(found, key=lambda f: f[2])
 
 
@@ -464,11 +543,11 @@ def redact(text: str, found: list[tuple[str, str, int, int]]) -> str:
 
 def _applied(docs: DataFrame, names: DataFrame, ident: str, text: str, redacted: bool, sample_docs: int) -> DataFrame:
     spark = docs.sparkSession
-    rows = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
+    rows = spread(docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null"))
     listed = names.where("name_part is not null").select("name_part", "kind").distinct().collect()  # a fixed list of name parts
     given = {_fold(r["name_part"]) for r in listed if r["kind"] == "given"}
     family = {_fold(r["name_part"]) for r in listed if r["kind"] == "family"}
-    sample = [r["text"] for r in rows.where("length(text) between 1 and 20000").orderBy(F.xxhash64("id"), "id").limit(sample_docs).collect()]
+    sample = [r["text"] for r in rows.where(F.length("text").between(1, SAMPLE_CHARS)).orderBy(F.xxhash64("id"), "id").limit(sample_docs).collect()]
     common, dotted = word_counts(rows)
     known_names = Names(given, family, common)
     held = spark.sparkContext.broadcast((fit(sample, known_names, dotted), known_names))
@@ -476,9 +555,11 @@ def _applied(docs: DataFrame, names: DataFrame, ident: str, text: str, redacted:
     def details(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = held.value
         for batch in batches:
-            out = []
+            out, judged = [], {}
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out += dict.fromkeys((i, kind, value) for kind, value, _, _ in find(t, model, known)) if t else []
+                if t not in judged:  # repeated texts once a batch
+                    judged[t] = list(dict.fromkeys((kind, value) for kind, value, _, _ in find(t, model, known))) if t else []
+                out += [(i, *told) for told in judged[t]]
             ids, kinds, values = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(values, pa.string())], ["id", "kind", "value"])
 
