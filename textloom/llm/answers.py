@@ -165,7 +165,7 @@ def defect(reference: str | None, answer: str | None) -> str | None:
 
 
 def defective_pairs(pairs: DataFrame, corpus: DataFrame, ident: str, reference: str, answer: str, source: str) -> DataFrame:
-    """(ident, defect) of the defective rows of pairs. corpus(text) are the texts that show how sentences end.
+    """(ident, defect) of the defective rows of pairs. corpus(text) are the texts that, with the answers, show how sentences end.
 
     Rows repeated under one id give one row, the first defect in the order above. No rows give none.
     """

@@ -276,11 +276,15 @@ def cut_texts(rows: DataFrame, corpus: DataFrame) -> DataFrame:
     total = counts.join(texts.select("k1").distinct(), counts.key == F.col("k1"), "left_semi").agg(F.sum("ends").alias("ends"), F.sum("inside").alias("inside")).first()
     ends_all, all_ = float(total["ends"] or 1), float((total["ends"] or 1) + (total["inside"] or 1))
     small = counts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    told = texts.where("words > 0")
+    # what moves is narrow: texts and bags of words meet only small tables, or those they are sorted by
+    told = texts.where("words > 0").select("key", "chars", "ended", "dangling", "broken", "opened", "number", "k1", "k2", "k3")
     for key in ("k1", "k2", "k3"):
         told = _lookup(told, counts, key, small)
-    told = told.join(heads, "head", "left")
-    told = told.join(shortened(texts), "core", "left")
+    headed = texts.where("head is not null").select("key", "head", "words", "bag").join(_small(cut_lineage(heads)), "head")
+    lacks, short = F.size(F.array_except("fixed", "bag")) > 0, F.col("words") < F.col("shortest")
+    told = told.join(headed.where(F.coalesce(lacks, F.lit(False)) | F.coalesce(short, F.lit(False))).select("key", F.lit(True).alias("needs")), "key", "left")
+    begun = texts.where("not ended").select("key", "core").join(_small(cut_lineage(shortened(texts))), "core").select("key", "goes_on")
+    told = told.join(begun, "key", "left")
     # how often the last words end a sentence: three words, smoothed by two, these by one; against any place in a text
     base_rate = ends_all / all_
     one = (F.col("e_k1") + 0.2 * base_rate) / (F.col("e_k1") + F.col("i_k1") + 0.2)
@@ -288,11 +292,9 @@ def cut_texts(rows: DataFrame, corpus: DataFrame) -> DataFrame:
     three = (F.col("e_k3") + SMOOTHING * two) / (F.col("e_k3") + F.col("i_k3") + SMOOTHING)
     odds = base_rate / three
     unknown = (F.col("e_k1") + F.col("i_k1") <= 1) & ~F.col("number")
-    lacks = F.size(F.array_except("fixed", "bag")) > 0
-    short = F.col("words") < F.col("shortest")
     open_end = ~F.col("ended")
     why = F.when(open_end & F.col("broken") & (odds > 0.2), "broken").when(open_end & F.col("dangling"), "dangling").when(open_end & F.col("goes_on"), "shortened").when(open_end & unknown, "word")
-    told = told.withColumn("hard", why).withColumn("needs", F.coalesce(lacks, F.lit(False)) | F.coalesce(short, F.lit(False))).withColumn("odds", odds)
+    told = told.withColumn("hard", why).withColumn("needs", F.coalesce("needs", F.lit(False))).withColumn("odds", odds)
     told = told.select("key", "chars", "ended", "hard", "needs", "odds", "number", "e_k1", "i_k1", "e_k2", "goes_on", "opened")
     told = cut_lineage(keyed.select("id", "source", "key").join(told, "key"))
     # each source's baseline: lengths at a limit, cuts among texts without a closing mark, and structures that whole texts leave open

@@ -21,16 +21,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The texts that may be cut, by table, and all texts whose sentences tell how sentences end."""
+    """The texts that may be cut, by table, and the other texts whose sentences tell how sentences end."""
     outputs, captions = _table(spark, sf_dir, "sft_patch_v2_outputs"), _table(spark, sf_dir, "ten_video_eval")
     rows = outputs.select(F.concat_ws(":", F.lit("sft_patch_v2_outputs"), "output_id").alias("id"), F.col("run_file").alias("source"), F.col("generated").alias("text")).unionByName(
         captions.select(F.concat_ws(":", F.lit("ten_video_eval"), "row_id").alias("id"), F.col("run_file").alias("source"), F.col("caption").alias("text"))
     )
-    return rows, rows.select("text").unionByName(outputs.select(F.col("reference").alias("text")))
+    return rows, outputs.select(F.col("reference").alias("text"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return defective_pairs(_table(spark, sf_dir, "sft_patch_v2_outputs"), _answers(spark, sf_dir)[1], "output_id", "reference", "generated", "run_file")
+    outputs, captions = _table(spark, sf_dir, "sft_patch_v2_outputs"), _table(spark, sf_dir, "ten_video_eval")
+    others = outputs.select(F.col("reference").alias("text")).unionByName(captions.select(F.col("caption").alias("text")))
+    return defective_pairs(outputs, others, "output_id", "reference", "generated", "run_file")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
