@@ -287,7 +287,7 @@ def _filtered(key: np.ndarray, who: np.ndarray, size: np.ndarray, bits: np.ndarr
             yield (np.minimum(x, y)[fit] << 32) | np.maximum(x, y)[fit]
         step += 1
     for k in np.flatnonzero(width >= LARGE):
-        own = np.unique(who[start[k] : start[k] + width[k]]).astype(np.int64)
+        own = shingles.distinct(who[start[k] : start[k] + width[k]].astype(np.int64))
         if len(own) > most_groups:
             hot.append(own)
             continue
@@ -390,7 +390,7 @@ def candidate_pairs(packed: DataFrame, buckets: int, most_groups: int = HOT) ->
                     held.append(part)
                     n += len(part)
                 if held and (part is None or n > HELD):
-                    pair = np.unique(np.concatenate(held))
+                    pair = shingles.distinct(np.concatenate(held))
                     for x, y in _expanded(begin, many, pair >> 32, pair & 0xFFFFFFFF):
                         yield ids[x], ids[y]
                     held, n = [], 0
@@ -441,9 +441,10 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def near_duplicate_groups(df: DataFrame, ident: str, text: str, most_groups: int = HOT) -> DataFrame:
-    """(id, component) of every row of df that is alike to another one; the component is its smallest class id.
+    """(id, component) of every row of df whose text has enough words; the component is the smallest id of its class or of
+    those linked to it.
 
-    Null texts and those under 12 words are alike to none. A row that stands there twice under one id counts once
+    Null texts and those under 12 words are alike to none and stand in no row. A row that stands there twice under one id counts once
     (of different texts under one id each is looked at). Nothing alike, or no rows: no rows.
     """
     spark = df.sparkSession

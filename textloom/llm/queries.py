@@ -12,7 +12,7 @@ from textloom.llm.cross_split import cross_split_overlaps, cross_split_pairs, ov
 from textloom.llm.cuts import cut_texts, truncation_by_source
 from textloom.llm.encoding import decode_ids, encode_texts
 from textloom.llm.leakage import leaked_items
-from textloom.llm.near_duplicates import near_duplicate_pairs
+from textloom.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from textloom.llm.personal import personal_details, redacted_texts
 
 
@@ -58,6 +58,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumnsRenamed({"a": "caption_id_a", "b": "caption_id_b"})
 
 
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups themselves, a row per caption: for groups whose pairs are too many to be wanted."""
+    groups = near_duplicate_groups(_table(spark, sf_dir, "all_captions"), "caption_id", "blv_description").distinct()
+    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return groups.join(sizes, "component").select(F.col("id").alias("caption_id"), "component", "size")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -83,7 +90,7 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_sources, p4_found, p4_overlaps, p5_found, p6_ids, p6_decoded, p7_found, p7_spans, p8_found, p8_redacted)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_sources, p4_found, p4_overlaps, p5_found, p5_groups, p6_ids, p6_decoded, p7_found, p7_spans, p8_found, p8_redacted)}
 
 
 _WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
@@ -115,14 +122,14 @@ x AS (SELECT a, b FROM c JOIN ne ON ne.id = a JOIN nt ON nt.id = b WHERE 2 * c >
 v AS (SELECT eval_id AS a, train_id AS b FROM (SELECT eval_id, {_video("video_id")} AS v FROM balanced_eval) JOIN (SELECT train_id, {_video("video_id")} AS v FROM balanced_train) USING (v))
 SELECT a AS eval_id, b AS train_id FROM x UNION SELECT a, b FROM v"""
 
-_P5 = f"""WITH RECURSIVE {_runs("e", "all_captions", "caption_id", "blv_description")},
+_P5_GROUPS = f"""WITH RECURSIVE {_runs("e", "all_captions", "caption_id", "blv_description")},
 s AS (SELECT id, md5(string_agg(run, '|' ORDER BY run)) AS class FROM e GROUP BY id), k AS (SELECT class, min(id) AS rep FROM s GROUP BY class),
 f AS (SELECT e.*, n FROM e JOIN ne USING (id) JOIN k ON rep = id),
 c AS (SELECT x.id AS a, y.id AS b, count(*) AS c, any_value(x.n) AS n, any_value(y.n) AS m FROM f x JOIN f y ON x.run = y.run AND x.id < y.id AND 2 * x.n >= y.n AND 2 * y.n >= x.n GROUP BY x.id, y.id),
 l AS (SELECT a, b FROM c WHERE 2 * c >= n + m - c), both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT rep AS a, rep AS b FROM k UNION SELECT r.a, both_ways.b FROM r JOIN both_ways ON both_ways.a = r.b),
-g AS (SELECT s.id, component FROM s JOIN k USING (class) JOIN (SELECT a, min(b) AS component FROM r GROUP BY a) ON a = rep)
-SELECT x.id AS caption_id_a, y.id AS caption_id_b FROM g x JOIN g y ON x.component = y.component AND x.id < y.id"""
+g AS (SELECT s.id, component FROM s JOIN k USING (class) JOIN (SELECT a, min(b) AS component FROM r GROUP BY a) ON a = rep)"""
+_P5 = f"{_P5_GROUPS} SELECT x.id AS caption_id_a, y.id AS caption_id_b FROM g x JOIN g y ON x.component = y.component AND x.id < y.id"
 
 _P7 = f"""WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE text <> ''), i AS (SELECT item_id, {_WORDS.format("text")} AS w FROM eval_items WHERE text <> ''),
 i4 AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 2), lambda k: array_to_string(w[k:k + 3], ' '))) AS run FROM i WHERE len(w) >= 4), n4 AS (SELECT item_id, count(*) AS n FROM i4 GROUP BY item_id),
@@ -136,6 +143,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": _P4,
         "p5_found": _P5,
+        "p5_groups": f"{_P5_GROUPS} SELECT id AS caption_id, component, size FROM (SELECT DISTINCT id, component, count(*) OVER (PARTITION BY component) AS size FROM g) WHERE size > 1",
         "p7_found": _P7,
         # What comes back from the ids is the text itself; null texts come back empty.
         "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",

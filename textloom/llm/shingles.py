@@ -118,12 +118,13 @@ def sorted_by(cell: np.ndarray) -> np.ndarray:
     return np.sort((cell.astype(np.int64) << bits) | np.arange(len(cell))) & ((1 << bits) - 1)
 
 
-def run_sets(texts: list[str | None], least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, run, sizes): the distinct runs of each text of at least `least` words, sorted by text and run."""
+def run_sets(texts: list[str | None], least: int = LEAST_WORDS, hashed: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, run, sizes): the distinct runs of each text of at least `least` words, sorted by text and run. hashed are the
+    texts' word_hashes, if they are known."""
     if len(texts) > SLAB:
         parts = [run_sets(texts[lo : lo + SLAB], least) for lo in range(0, len(texts), SLAB)]
         return np.concatenate([doc + i * SLAB for i, (doc, _, _) in enumerate(parts)]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
-    word, counts = word_hashes(texts)
+    word, counts = hashed or word_hashes(texts)
     doc = np.repeat(np.arange(len(texts)), counts)
     if len(word) < RUN:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
@@ -137,6 +138,14 @@ def run_sets(texts: list[str | None], least: int = LEAST_WORDS) -> tuple[np.ndar
     return doc, both & np.uint64((1 << RUN_BITS) - 1), np.bincount(doc, minlength=len(texts))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted; x is sorted in place."""
+    x.sort()
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
 def spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """first[0], first[0] + 1, ... (size[0] of them), first[1], ..."""
     return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
