@@ -105,3 +105,73 @@ def test_repetition_is_the_ratio(spark):
     parts = [["A chair stands near the door", "A chair stands near the doors"], ["one thing here", "quite another matter"], [], None]
     got = [r[0] for r in spark.createDataFrame([(p,) for p in parts], "p array<string>").select(M.repeats_itself("p")).collect()]
     assert got == [SequenceMatcher(None, *parts[0]).ratio() > 0.75, False, False, None]
+
+
+def test_templates_padding_and_first_elements(spark):
+    df = spark.createDataFrame([(7, "x", '["a", "b"]'), (123, None, "plain"), (None, "z", "[]")], "n int, t string, j string")
+    got = df.select(T.template("<{n}|{t}>", n="n", t="t").alias("a"), T.zero_padded("n", 2).alias("b"), T.first_or_scalar("j").alias("c")).collect()
+    assert [r["a"] for r in got] == ["<7|x>", "<123|>", "<|z>"]
+    assert [r["b"] for r in got][:2] == ["07", "123"] and [r["c"] for r in got] == ["a", "plain", None]
+
+
+def test_rounding_blobs_and_search_in_blocks(spark, monkeypatch):
+    from textloom.functions import vectors as V
+
+    halves = [0.125, 2.675, 0.5, 1.5, None, -0.125]
+    df = spark.createDataFrame([(x,) for x in halves], "x double")
+    assert [r[0] for r in df.select(V.py_round("x", 2)).collect()] == [None if x is None else round(x, 2) for x in halves]
+    vectors = spark.createDataFrame([(i, [float(i), 1.5, -2.0]) for i in range(7)] + [(9, None)], "k int, v array<float>")
+    back = vectors.select("k", "v", V.from_blob(V.to_blob("v")).alias("w")).collect()
+    assert all(r["v"] == r["w"] for r in back)
+    queries = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(4)], "q int, embedding array<float>")
+    library = spark.createDataFrame([(i, [float(i % 3), float(i % 5)]) for i in range(11)], "l int, embedding array<float>")
+    whole = sorted(map(tuple, V.top_k(queries, library, "q", "l", 3).select("q", "l", "rank").collect()))
+    monkeypatch.setattr(V, "LIBRARY_ROWS", 4)
+    assert whole == sorted(map(tuple, V.top_k(queries, library, "q", "l", 3).select("q", "l", "rank").collect())) and len(whole) == 12
+
+
+def test_repeats_and_bleu_variants(spark):
+    from difflib import SequenceMatcher
+    from itertools import combinations
+    from random import Random
+
+    rng = Random(3)
+    words = ["lamp", "door", "near the", "table", "stairs", "red", "a man walks", "by", "old"]
+    rows = []
+    for _ in range(120):
+        parts = [" ".join(rng.choices(words, k=rng.randint(2, 9))) for _ in range(rng.randint(0, 5))]
+        if parts and rng.random() < 0.4:
+            parts.append(parts[0][: -rng.randint(1, 6)] + "xy")
+        rows.append(parts)
+    rows += [["é" * 300, "é" * 300], ["ab" * 150, "ab" * 150], []]
+    want = [any(SequenceMatcher(None, a, b).ratio() > 0.75 for a, b in combinations(x, 2)) for x in rows]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)] + [(999, None)], "i int, x array<string>")
+    got = {r["i"]: r["r"] for r in df.select("i", M.repeats_itself("x").alias("r")).collect()}
+    assert [got[i] for i in range(len(rows))] == want and got[999] is None
+    text = spark.createDataFrame([("It costs 1,000.5 (or so)-no, 3-4!", "It costs 1,000.5, or so; no.")], "h string, r string")
+    spaced = text.select(M.tokenized_13a("h").alias("t")).first()["t"].split()
+    assert spaced == ["It", "costs", "1,000.5", "(", "or", "so", ")", "-no", ",", "3", "-", "4", "!"]
+    none = M.bleu(M.ngram_matches(spark.createDataFrame([("a b", "c d"), (None, "x")], "h string, r string"), "h", "r"), smooth="exp").first()
+    assert none["bleu1"] > 0 and M.bleu(M.ngram_matches(text.limit(0), "h", "r")).count() <= 1
+
+
+def test_cider_by_hand(spark):
+    from collections import Counter
+    from math import exp, log, sqrt
+
+    pairs = [(1, "a man walks past a red lamp", "a man walks by a red lamp"), (2, "the door is shut", "the door is open now"), (3, "", "a lamp")]
+    grams = lambda t, n: Counter(tuple(t.split()[i : i + n]) for i in range(len(t.split()) - n + 1))
+    df = Counter(g for _, _, r in pairs for n in range(1, 5) for g in grams(r, n))
+    df = Counter({g: sum(1 for _, _, r in pairs if g in grams(r, len(g))) for g in df})
+    want = {}
+    for k, h, r in pairs:
+        total = 0.0
+        delta = sum(grams(h, 2).values()) - sum(grams(r, 2).values())
+        for n in range(1, 5):
+            idf = lambda g: log(len(pairs)) - log(max(1, df[g]))
+            a, b = ({g: c * idf(g) for g, c in grams(t, n).items()} for t in (h, r))
+            na, nb = sqrt(sum(v * v for v in a.values())), sqrt(sum(v * v for v in b.values()))
+            total += sum(min(v, b.get(g, 0)) * b.get(g, 0) for g, v in a.items()) / (na * nb) if na and nb else 0.0
+        want[k] = 10 * total / 4 * exp(-(delta**2) / 72)
+    got = {r["k"]: r["cider"] for r in M.cider(spark.createDataFrame(pairs, "k int, h string, r string"), "k", "h", "r").collect()}
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
