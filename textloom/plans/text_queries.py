@@ -108,7 +108,7 @@ def o_kw_1_2_3(t: Tables) -> DataFrame:
     + " FROM all_captions GROUP BY 1"
 )
 def o_kw_4(t: Tables) -> DataFrame:
-    return t.all_captions.groupBy(F.lower("dataset").alias("dataset")).agg(F.count(F.lit(1)).alias("n"), *[F.round(100 * F.avg(hit.cast("int")), 1).alias(name) for name, hit in R.coverage("blv_description").items()])
+    return spread(t.all_captions.select("dataset", "blv_description")).groupBy(F.lower("dataset").alias("dataset")).agg(F.count(F.lit(1)).alias("n"), *[F.round(100 * F.avg(hit.cast("int")), 1).alias(name) for name, hit in R.coverage("blv_description").items()])
 
 
 @query(f"SELECT condition, round(avg(coalesce(contains(upper(generated), 'CAUTION'), false)::int), 6) AS caution, round(avg(len(regexp_extract_all(generated, '(?i)\\b(left|right|center|ahead|behind)\\b'))), 6) AS directions, round(avg(regexp_matches(generated, '(?i)[0-9]+(\\.[0-9]+)?[\\t\\n\\x0B\\f\\r ]*meter')::int), 6) AS distances, round(avg(len(list_filter(regexp_split_to_array(generated, '[.!?]+'), lambda s: {_strip('s')} <> ''))), 6) AS sentences FROM sft_patch_v2_outputs GROUP BY condition")
