@@ -3,10 +3,12 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow.fs as pafs
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import answers, cuts, personal, shingles
+from textloom.llm import answers, cuts, near_duplicates, personal, shingles
 from textloom.llm.cross_split import canonical_video_id, cross_split_overlaps, cross_split_pairs, overlap_report, pairs_across
 from textloom.llm.encoding import RANKS, decode_ids, encode_texts
 from textloom.llm.leakage import leaked_items
@@ -90,6 +92,38 @@ def test_near_duplicates_of_a_hot_key(spark):
     assert whole and whole == {tuple(r) for r in near_duplicate_groups(df, "k", "body", most_groups=33).collect()}
 
 
+def test_near_duplicates_of_keys_split_into_blocks(spark, tmp_path, monkeypatch):
+    """Keys of more groups than one task takes, for all texts and for two blocks of several cuts."""
+    rng = random.Random(12)
+    common = [f"common{i}" for i in range(8)]
+    texts = [" ".join(common + [f"own{i // 2}x{j}" for j in range(5)] + [f"last{i}"] * (i % 3)) for i in range(160)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, body string")
+    own = [sets(t) for t in texts]
+    links = {(i, j) for i in range(160) for j in range(i + 1, 160) if alike(own[i], own[j])}
+    whole = {tuple(r) for r in near_duplicate_groups(df, "k", "body").collect()}
+    split = {tuple(r) for r in near_duplicate_groups(df, "k", "body", most_groups=34).collect()}
+    component = dict(whole)
+    assert links and len(set(component.values())) < 160 and all(component[i] == component[j] for i, j in links)
+    assert split == whole
+
+    monkeypatch.setattr(near_duplicates, "BLOCK", 7)
+    size = np.sort(np.array([rng.choice([1, 3, 12, 40, 95, 96, 200, 10**9]) for _ in range(90)], np.int64))
+    bits = np.array([[rng.getrandbits(64) & rng.choice([3, 2**64 - 1]) for _ in range(2)] for _ in range(90)], np.uint64)
+    ids = np.arange(90)[::-1].astype(np.int64)
+    tiles = near_duplicates._write_blocks(str(tmp_path / "blocks"), iter([(ids, size, bits)]), 40).to_pylist()
+    assert len({t["file"] for t in tiles}) == 1 and len(tiles) > 3
+    found = set()
+    for t in tiles:
+        with pafs.LocalFileSystem().open_input_file(str(tmp_path / "blocks" / t["file"])) as file:
+            one, two = (near_duplicates._read_block(file, t[c]) for c in "ab")
+        for x, y in near_duplicates._block_pairs(one, two, t["a"] == t["b"]):
+            found |= {(min(p), max(p)) for p in zip(x.tolist(), y.tolist(), strict=True) if p[0] != p[1]}
+    differ = lambda i, j: sum(int(a ^ b).bit_count() for a, b in zip(bits[i], bits[j], strict=True))
+    near = lambda i, j: 3 * differ(i, j) <= size[i] + size[j] and 2 * size[i] >= size[j]
+    assert found == {(int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for i in range(90) for j in range(i + 1, 90) if near(i, j)}
+
+
+
 def test_word_hashes_agree_with_words():
     """Hashes tell apart what words() tells apart, in ASCII and other batches alike, over windows too."""
     texts = [None, "", "A b_c", "İstanbul ΣΑΣ, Straße 12½ ² हिंदी", "x" * 600_000 + " y z", "a b" * 200_000, "🚶 née"]

@@ -17,23 +17,25 @@ is, of n and m runs they differ in at most (n + m) / 3. The join is exact; nothi
 4. In a bucket, texts with the same keys, size and parity bits are collapsed into one group; pairs of groups that share a
    key are filtered by size and by parity (the bits in which two sets differ are at most the runs in which they differ),
    then expanded to their members. Groups of one key are filtered in blocks, as products of matrices; a key of more than
-   HOT groups is split into blocks that go to tasks of their own.
+   HOT groups is split into blocks that are written once to the shared folder, and each pair of them goes to a task of its own.
 5. Candidates are verified on the whole texts. Links go through connected components; pairs come from the components.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import shingles
 from textloom.operators.graph import connected_components, pairs_within
-from textloom.session import cut_lineage, spread
+from textloom.session import cut_lineage, partitions, spread, step_path
 
 SKETCH_BITS = 20
 CHUNKS = 16
@@ -259,9 +261,11 @@ def _signs(bits: np.ndarray) -> np.ndarray:
 
 
 def _near_blocks(n: np.ndarray, bits: np.ndarray, n2: np.ndarray, bits2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs of two blocks whose sizes and bits let them be alike: the bits in which they differ are one product."""
-    near = (128.0 - _signs(bits) @ _signs(bits2).T) * 1.5 <= (n[:, None] + n2[None, :]).astype(np.float32)
-    i, j = np.nonzero(near)
+    """Places of the pairs of two blocks whose sizes and bits let them be alike, 1.5 * (128 - signs * signs2) <= n + n2, as one product."""
+    one, few, few2 = np.float32(1), np.minimum(n, 192).astype(np.float32), np.minimum(n2, 192).astype(np.float32)  # 192 is always enough
+    left = np.column_stack([_signs(bits) * np.float32(1.5), few, np.full(len(n), one)])
+    right = np.column_stack([_signs(bits2), np.full(len(n2), one), few2])
+    i, j = np.divmod(np.flatnonzero(left @ right.T >= 192), max(1, len(n2)))
     ok = 2 * np.minimum(n[i], n2[j]) >= np.maximum(n[i], n2[j])
     return i[ok], j[ok]
 
@@ -326,7 +330,7 @@ def _pairs_batch(found: list[np.ndarray]) -> pa.RecordBatch:
     a, b = a[order], b[order]
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) & (a < b) if len(a) else np.zeros(0, bool)
     a, b = a[new], b[new]
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.binary()), pa.nulls(len(a), pa.binary())], ["a", "b", "left", "right"])
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.string())], ["a", "b", "file"])
 
 
 def _sent(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -347,13 +351,54 @@ def _block(ids: np.ndarray, size: np.ndarray, bits: np.ndarray) -> bytes:
     return b"".join([len(ids).to_bytes(8, "little"), ids.astype("<i8").tobytes(), size.astype("<i8").tobytes(), np.ascontiguousarray(bits).tobytes()])
 
 
-def _unblock(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = int.from_bytes(raw[:8], "little")
-    return np.frombuffer(raw[8 : 8 + 8 * n], "<i8"), np.frombuffer(raw[8 + 8 * n : 8 + 16 * n], "<i8"), np.frombuffer(raw[8 + 16 * n :], "<u8").reshape(-1, 2)
+def _read_block(file: pa.NativeFile, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    file.seek(at)
+    n = int.from_bytes(file.read(8), "little")
+    raw = file.read(32 * n)
+    return np.frombuffer(raw[: 8 * n], "<i8"), np.frombuffer(raw[8 * n : 16 * n], "<i8"), np.frombuffer(raw[16 * n :], "<u8").reshape(-1, 2)
+
+
+def _write_blocks(folder: str, keys: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], most: int) -> pa.RecordBatch:
+    """(a, b, file): the places in a new file of each two blocks of a key, (ids, sizes, bits) in the order of sizes, that may hold alike texts.
+
+    The file has a name of its own for each run of a task, which may meet its texts in another order.
+    """
+    fs, path = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(path)
+    name, place, left, right = uuid.uuid4().hex, 0, [], []
+    with fs.open_output_stream(f"{path}/{name}") as out:
+        for ids, size, bits in keys:
+            cut = range(0, len(ids), most)
+            at = []
+            for lo in cut:
+                raw = _block(ids[lo : lo + most], size[lo : lo + most], bits[lo : lo + most])
+                out.write(raw)
+                at.append(place)
+                place += len(raw)
+            for i, lo in enumerate(cut):
+                for j in range(i, len(at)):
+                    if size[cut[j]] <= 2 * size[min(lo + most, len(ids)) - 1]:
+                        left.append(at[i])
+                        right.append(at[j])
+    return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array([name] * len(left), pa.string())], ["a", "b", "file"])
+
+
+def _block_pairs(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...], same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids of the pairs of two blocks, or of one if they are the same, that may be alike; both are in the order of sizes."""
+    (ids, n, bits), (ids2, n2, bits2) = one, two
+    for lo in range(0, len(ids), BLOCK):
+        hi = min(lo + BLOCK, len(ids))
+        for lo2 in range(lo if same else 0, len(ids2), BLOCK):
+            hi2 = min(lo2 + BLOCK, len(ids2))
+            if n2[lo2] <= 2 * n[hi - 1] and n[lo] <= 2 * n2[hi2 - 1]:
+                i, j = _near_blocks(n[lo:hi], bits[lo:hi], n2[lo2:hi2], bits2[lo2:hi2])
+                yield ids[i + lo], ids2[j + lo2]
 
 
 def candidate_pairs(packed: DataFrame, buckets: int, most_groups: int = HOT) -> DataFrame:
     """(a, b), a < b: texts of which one part shares a key and may be alike by its size and bits."""
+    spark = packed.sparkSession
+    folder = step_path(spark, "blocks")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns: list[list[np.ndarray]] = [[], [], [], [], []]
@@ -395,32 +440,34 @@ def candidate_pairs(packed: DataFrame, buckets: int, most_groups: int = HOT) ->
                         yield ids[x], ids[y]
                     held, n = [], 0
 
+        def keys() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            for own in hot:
+                own = own[np.argsort(size[own], kind="stable")]
+                yield ids[shingles.spans(begin[own], many[own])], np.repeat(size[own], many[own]), np.repeat(bits[own], many[own], axis=0)
+
         yield from _sent(pairs())
-        for own in hot:
-            spot = shingles.spans(begin[own], many[own])
-            every, n, b = ids[spot], np.repeat(size[own], many[own]), np.repeat(bits[own], many[own], axis=0)
-            blocks = [_block(every[lo : lo + most_groups], n[lo : lo + most_groups], b[lo : lo + most_groups]) for lo in range(0, len(every), most_groups)]
-            for i, left in enumerate(blocks):
-                for right in blocks[i:]:
-                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([left], pa.binary()), pa.array([right], pa.binary())], ["a", "b", "left", "right"])
+        if hot:
+            yield _write_blocks(folder, keys(), most_groups)
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = pafs.FileSystem.from_uri(folder)
+
         def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for batch in batches:
-                for left, right in zip(batch.column(0), batch.column(1), strict=True):
-                    (ids, n, bits), (ids2, n2, bits2) = _unblock(left.as_py()), _unblock(right.as_py())
-                    for lo in range(0, len(ids), BLOCK):
-                        for lo2 in range(0, len(ids2), BLOCK):
-                            i, j = _near_blocks(n[lo : lo + BLOCK], bits[lo : lo + BLOCK], n2[lo2 : lo2 + BLOCK], bits2[lo2 : lo2 + BLOCK])
-                            yield ids[i + lo], ids2[j + lo2]
+                for a, b, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    with fs.open_input_file(f"{path}/{name}") as file:
+                        one = _read_block(file, a)
+                        two = one if a == b else _read_block(file, b)
+                    yield from _block_pairs(one, two, a == b)
 
         yield from _sent(pairs())
 
-    schema = "a long, b long, left binary, right binary"
+    schema = "a long, b long, file string"
     told = cut_lineage(packed.repartitionById(buckets, "bucket").mapInArrow(match, schema))
-    pairs, blocks = told.where("a is not null").select("a", "b"), told.where("a is null").select("left", "right")
-    if blocks.limit(1).count():
-        pairs = pairs.unionByName(blocks.repartition().mapInArrow(products, schema).select("a", "b"))
+    pairs, blocks = told.where("file is null").select("a", "b"), told.where("file is not null")
+    some = blocks.count()
+    if some:
+        pairs = pairs.unionByName(blocks.repartition(min(some, partitions(spark))).mapInArrow(products, schema).select("a", "b"))
     return pairs.distinct()
 
 
