@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions import metrics as M
 from textloom.functions import rubrics as R
 from textloom.functions import text as T
+from textloom.plans.reference_queries import QUERIES
 
 EDGE = ["", " ", "\n a \n", "a b", "Été, no_1!", "at 1.5 meters. Then stop.", None, "x" * 5000, "  two  words ", "[ERROR: x]"]
 
@@ -94,6 +95,19 @@ def test_answers(spark):
     assert [r[0] for r in df.select(M.anls("p", "t")).collect()] == [1.0, 0.0, 0.5, 0.0]
 
 
+def test_answers_of_a_group(spark, tmp_path):
+    """The truths of a group are never put into one value, which each of its rows would have to look through."""
+    rows = [
+        (1, "v", "stop", "Stop!"), (2, "v", "STOP", "go"), (3, "v", "stop.", " STOP "), (4, "v", "stop", None), (5, "v", "Go", "none"), (6, "v", None, ""),
+        (7, "w", None, "stop"), (8, None, "stop", "stop"), (9, "e", "", "?!"), (10, "e", "...", "x"), (11, "e", "  ", ""), (12, "e", "-", ""), (13, "o", "stop", "stop"),
+    ]
+    spark.createDataFrame(rows, "output_id long, video_id string, reference string, generated string").write.parquet(str(tmp_path / "sft_patch_v2_outputs.parquet"))
+    found = QUERIES["o_met_8"](spark, str(tmp_path))
+    assert {r["output_id"]: r["accuracy"] for r in found.collect()} == {1: 1.0, 2: 0.333333, 3: 1.0, 5: 0.0, 6: 0.0, 7: 0.0, 9: 1.0, 10: 0.0, 11: 1.0, 12: 1.0, 13: 0.333333}
+    assert found.count() == 11 and found.dtypes == [("output_id", "bigint"), ("accuracy", "double")]
+    assert "collect_set" not in found._jdf.queryExecution().toString()
+
+
 def test_bleu_from_recorded_counts(spark):
     runs = [((13463, 1160, 147, 13), (109997, 108068, 106139, 104210), 106497, 12.24, 0.39), ((17549, 2638, 558, 90), (76500, 74571, 72642, 70713), 106497, 15.5, 1.13), ((13477, 1189, 153, 21), (112049, 110120, 108191, 106262), 106497, 12.03, 0.44)]
     rows = [(str(k), n + 1, c[n], g[n], ref) for k, (c, g, ref, _, _) in enumerate(runs) for n in range(4)]

@@ -32,6 +32,18 @@ def vqa_accuracy(pred: Column | str, truths: Column | str) -> Column:
     return F.least(F.lit(1.0), F.size(F.filter(col(truths), lambda t: normalized_answer(t) == p)) / F.lit(3.0))
 
 
+def vqa_accuracies(rows: DataFrame, group: str, pred: str, truth: str) -> DataFrame:
+    """rows with an accuracy: vqa_accuracy of each answer against the distinct truths of its group.
+
+    Each text is normalised once and equal ones meet by a join, so a group of many rows costs no more than as many small
+    ones. Rows without a group or an answer drop out; null truths don't count.
+    """
+    truths = rows.where(F.col(group).isNotNull() & F.col(truth).isNotNull()).select(group, truth).distinct()
+    equal = truths.select(group, normalized_answer(truth).alias("_a")).groupBy(group, "_a").agg(F.count(F.lit(1)).alias("_n"))
+    asked = rows.where(F.col(group).isNotNull() & F.col(pred).isNotNull()).withColumn("_a", normalized_answer(pred))
+    return asked.join(equal, [group, "_a"], "left").withColumn("accuracy", F.least(F.lit(1.0), F.coalesce("_n", F.lit(0)) / F.lit(3.0))).drop("_a", "_n")
+
+
 @F.pandas_udf(StructType([StructField("r", StringType()), StructField("h", StringType())]))
 def _spelled(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
     """Both texts with one character for each distinct word of the pair, null for null."""

@@ -133,9 +133,8 @@ _TRUTHS = "SELECT video_id, list(DISTINCT reference) FILTER (reference IS NOT NU
 @query(f"SELECT output_id, round(least(1.0, len(list_filter(coalesce(truths, []), lambda t: {_NORMAL('t')} = {_NORMAL('generated')})) / 3), 6)::double AS accuracy FROM sft_patch_v2_outputs JOIN ({_TRUTHS}) USING (video_id) WHERE generated IS NOT NULL")
 def o_met_8(t: Tables) -> DataFrame:
     """Answers: the generated texts of a video against all references of it."""
-    truths = t.sft_patch_v2_outputs.groupBy("video_id").agg(F.collect_set("reference").alias("truths"))
-    rows = t.sft_patch_v2_outputs.where("generated is not null").join(truths, "video_id")
-    return rows.select("output_id", F.round(M.vqa_accuracy("generated", "truths"), 6).alias("accuracy"))
+    rows = t.sft_patch_v2_outputs.select("output_id", "video_id", "reference", "generated")
+    return M.vqa_accuracies(rows, "video_id", "generated", "reference").select("output_id", F.round("accuracy", 6).alias("accuracy"))
 
 
 @query(f"SELECT output_id, round(max(CASE WHEN g = '' THEN (p = '')::int::double WHEN nl > 0.5 THEN 0 ELSE 1 - nl END), 6) AS anls FROM (SELECT output_id, p, g, levenshtein(p, g) / greatest(length(p), length(g), 1) AS nl FROM (SELECT output_id, {_P} AS p, unnest([{_G}, trim(lower(condition))]) AS g FROM sft_patch_v2_outputs)) GROUP BY output_id")
